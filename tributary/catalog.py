@@ -1,0 +1,14 @@
+"""Every query of the library by name, with its SQL equivalent."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    raise NotImplementedError
