@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import chat, mixing, sharding
+from tributary.llm import chat, mixing, ogg, pieces, sharding
 from tributary.llm.text import table
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -26,6 +36,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pieces": op2_pieces,
+    "op3_ogg": op3_ogg,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,

@@ -67,8 +67,8 @@ d AS (
            xor(list_reduce(list_prepend(4294967295::BIGINT,
                list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ',')[:-2],
                               lambda x: ('0x' || x)::BIGINT)),
-               lambda a, x: xor(a // 256, (SELECT t FROM crc)[xor(a % 256, x) + 1])), 4294967295::BIGINT) END AS crc
-  FROM documents),
+               lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295::BIGINT) END AS crc
+  FROM documents, crc),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k, crc, size) - 1 AS r, count(*) OVER (PARTITION BY src) AS n FROM d),
 p AS (SELECT *, (r + ('0x' || left(md5('shards:' || src), 8))::BIGINT / 4294967296.0::DOUBLE) / n::DOUBLE AS pos FROM r),
 g AS (SELECT *, row_number() OVER (ORDER BY pos, src, r) - 1 AS g, count(*) OVER () AS total FROM p)
