@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tributary.llm import chat, mixing, ogg, pieces, sharding
-from tributary.llm.text import table
+from tributary.llm import chat, langid, lm, mixing, ogg, pieces, sharding
+from tributary.llm.text import held_out, table
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"), 5, 0)
+    labelled = langid.sample(docs, ~held)
+    return langid.predict(docs.select("doc_id", "text"), labelled).select("doc_id", held.alias("held_out"), "lang_pred", "score", "cost")
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 10, 0)
+    return lm.scores(docs, ~held).withColumn("held_out", held)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -38,6 +51,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_ogg": op3_ogg,
+    "op4_langid": op4_langid,
+    "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
