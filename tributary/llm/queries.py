@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, langid, lm, mixing, ogg, pieces, sharding
+from tributary.llm import chat, langid, lm, mixing, ogg, pieces, rulefit, sharding
 from tributary.llm.text import held_out, table
 
 
@@ -37,6 +37,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_rulefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = rulefit.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return rulefit.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
+    "op8_rulefit": op8_rulefit,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
