@@ -11,7 +11,7 @@ first).  A link of A misses at most w = |A| - ceil(t |A|) of A's shingles
 (the triangle inequality through A n B), so its cell can lie no further than
 the window of A's first w + 1 shingles: A is copied to those regions.  Linked
 documents meet in at least one of them, whatever the global order is.  The
-order looks at one shingle of CLASSES first, by the exact number of distinct
+order looks at one shingle of ``classes`` first, by the exact number of distinct
 sets that hold it in the whole corpus, then at the others by their hashes.
 
 *Next levels, in a region.*  Members are parted by whole-document pivots:
@@ -49,7 +49,6 @@ from tributary.plans.components import components
 from tributary.plans.ranking import running
 from tributary.plans.scratch import Scratch
 
-CLASSES = 4
 #: Shingles in a cell, and in a page of the frequency count; sets that a task remembers.
 HEAVY, PAGE_SHINGLES, PAGE_SETS, REMEMBERED = 2_000_000, 250_000, 4_096, 200_000
 SMALL, PIVOTS, BLOCK, COLUMNS = 64, 8, 256, 4_096
@@ -60,7 +59,7 @@ def window(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sketches(size: int, percent: int):
+def _sketches(size: int, percent: int, classes: int):
     """A page of sets a row: doc_ids, sizes, digests; of the sets that are new to the task the shingles of the first class and as many of the others as the window lacks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,9 +78,9 @@ def _sketches(size: int, percent: int):
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(digest)
-                        own = x[x % CLASSES == 0]
+                        own = x[x % classes == 0]
                         lack = max(0, window(len(x), percent) - len(own))
-                        other = x[x % CLASSES != 0][:lack]
+                        other = x[x % classes != 0][:lack]
                         first.append(own)
                         rest.append(other)
                     counts.append(len(first[-1]) if new else 0)
@@ -304,10 +303,11 @@ def components_of(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFram
     """``docs`` (doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    classes = np.uint64(max(1, min(4, 40 // (100 - percent))))  # a class should be well larger than a window
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     sketch = scratch.save(texts.mapInPandas(
-        _sketches(size, percent),
+        _sketches(size, percent, classes),
         f"page bigint, doc_ids array<{kind}>, sizes array<bigint>, digests array<binary>, counts binary, first binary, rests binary, rest binary"), "sketch")
     shingles = sketch.agg(F.coalesce(F.sum(F.octet_length("first") / 8), F.lit(0))).first()[0]
     parts = max(24, int(shingles // 400_000))
@@ -331,5 +331,6 @@ def components_of(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFram
     whole = classes.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = whole.groupBy("root").agg(F.min("__least").alias("component_id"))
     named = scratch.save(whole.join(least, "root").select("digest", "component_id"), "named")
+    scratch.drop("pivots", "regions", "links")
     return members.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

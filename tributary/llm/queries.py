@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, jaccard, langid, lm, mixing, ogg, pieces, rulefit, sharding
+from tributary.llm import chat, jaccard, langid, lm, mixing, ogg, pieces, rulefit, sharding, topk
 from tributary.llm.text import held_out, table
 
 
@@ -41,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_rulefit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 4, 2)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
+    "op7_topk": op7_topk,
     "op8_rulefit": op8_rulefit,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_sharding": sharding.ORACLE_SQL,
+    "op7_topk": topk.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,
 }
