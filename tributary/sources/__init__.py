@@ -1,0 +1 @@
+"""Readers and writers of logs, metadata, followers and results."""
