@@ -144,10 +144,10 @@ def participation_palma(log: DataFrame, keys: list[str] | None = None, roots_onl
     return found
 
 
-def size_timeseries(log: DataFrame, unit: str = "day", keys: list[str] | None = None) -> DataFrame:
-    """Mean size of the cascades that start in a bin."""
+def size_timeseries(log: DataFrame, unit: str = "day", keys: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Mean size of the cascades that start in a bin; ``sizes`` is a summary that is there already."""
     starts = present(log).filter("node = root").select("root", *(keys or []), bin_start(F.col("ts"), unit).alias("timestamp"))
-    return starts.join(summary(log).select("root", "size"), "root").groupBy(*(keys or []), "timestamp").agg(F.avg("size").alias("value"))
+    return starts.join((summary(log) if sizes is None else sizes).select("root", "size"), "root").groupBy(*(keys or []), "timestamp").agg(F.avg("size").alias("value"))
 
 
 def lifetime_timeseries(log: DataFrame, unit: str = "day", true_lifetime: bool = False) -> DataFrame:

@@ -49,6 +49,19 @@ class Inputs:
             return network.projection_edges(self.log.select(F.col("user").alias("node"), F.col("content").alias("shared")))
         return network.reply_edges(self.tree)
 
+    @cached_property
+    def hours(self) -> DataFrame:
+        """Cascades' series by hour, shared by all measurements of one of its columns."""
+        return cascade.timeseries(self.tree, "hour")
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return cascade.by_depth(self.tree)
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        return cascade.summary(self.tree)
+
     def types(self, which: str | None) -> list[str] | None:
         return {None: None, "contribution": self.contribution, "popularity": self.popularity, "all": [*self.contribution, *self.popularity],
                 "popularity+create": [*self.popularity, *self.creation]}.get(which, [which])
@@ -221,14 +234,14 @@ def _cascades() -> dict[str, Spec]:
     def one(name, scale, measure, metric_names, key=None):
         return Spec(name, scale, "content", measure, metric_names, {}, key, "cascade", scenario1=False)
 
-    def series(kind, column, unit="hour"):
-        when = "timestamp" if kind == "timeseries" else "depth"
-        run = (lambda i, a: cascade.timeseries(i.tree, unit)) if kind == "timeseries" else (lambda i, a: cascade.by_depth(i.tree))
-        return lambda i, a: run(i, a).select("root", when, F.col(column).cast("double").alias("value"))
+    def series(kind, column):
+        if kind == "timeseries":
+            return lambda i, a: i.hours.select("root", "timestamp", F.col(column).cast("double").alias("value"))
+        return lambda i, a: i.levels.select("root", "depth", F.col(column).cast("double").alias("value"))
 
     def distribution(column, keys=()):
         def run(i, a):
-            table = cascade.summary(i.tree).select(F.col("root"), F.col(column).cast("double").alias("value"))
+            table = i.summaries.select(F.col("root"), F.col(column).cast("double").alias("value"))
             return table.join(i.tree.filter("node = root").select("root", *keys), "root").select(*keys, "root", "value") if keys else table
 
         return run
@@ -245,7 +258,7 @@ def _cascades() -> dict[str, Spec]:
         key, k = (keys or (None,))[0], list(keys)
         for label, column in (("max_depth", "depth"), ("max_breadth", "breadth"), ("structural_virality", "structural_virality"), ("cascade_size", "size"), ("cascade_lifetime", "lifetime")):
             out.append(one(f"{scale}_{label}_distribution", scale, distribution(column, keys), ("js_divergence",), key))
-        out += [one(f"{scale}_cascade_size_timeseries", scale, lambda i, a, k=k: cascade.size_timeseries(i.tree, "day", k), _FFILL, key),
+        out += [one(f"{scale}_cascade_size_timeseries", scale, lambda i, a, k=k: cascade.size_timeseries(i.tree, "day", k, i.summaries), _FFILL, key),
                 one(f"{scale}_cascade_lifetime_timeseries", scale, lambda i, a, k=k: cascade.lifetime_timeseries(i.tree) if not k else _lifetimes(i.tree), _FFILL, key)]
         if keys:
             out += [one(f"community_{name}_by_time", scale, lambda i, a, c=c: cascade.community_users(i.tree).select("community", "timestamp", F.col(c).cast("double").alias("value")), _FFILL, key)
