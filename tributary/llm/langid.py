@@ -42,8 +42,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 def sample(docs: DataFrame, training: Column) -> list[tuple[str, list[str]]]:
     """Distinct labelled texts of each language, bounded by TEXTS and LANGS; two scans, no text is shuffled."""
     fit = docs.filter(training & F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE // 4)).withColumn("__h", F.xxhash64("text"))
-    least = W.partitionBy("lang").orderBy("__h")
-    chosen = fit.select("lang", "__h").distinct().withColumn("__rn", F.row_number().over(least)).filter(F.col("__rn") <= TEXTS)
+    least = W.partitionBy("lang", "__part").orderBy("__h")  # in parts first: a language may hold most of the rows
+    parts = fit.select("lang", "__h").distinct().withColumn("__part", F.pmod("__h", F.lit(64))).withColumn("__rn", F.row_number().over(least)).filter(F.col("__rn") <= TEXTS)
+    chosen = parts.withColumn("__rn", F.row_number().over(W.partitionBy("lang").orderBy("__h"))).filter(F.col("__rn") <= TEXTS)
     picked = [(r["lang"], r["__h"]) for r in chosen.orderBy("lang", "__h").limit(TEXTS * LANGS).collect()]
     if not picked:
         return []
