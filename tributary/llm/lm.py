@@ -3,10 +3,10 @@
 Tokens are a text's words (A-Z lowered) and one end.  Unigrams are smoothed by
 adding 0.1 over all words seen in training and one more for the unseen; this
 is the base score.  Two- and three-word sequences of frequent words get
-discounted shares on top: P(w | h) = (c(hw) - D) / c(h) + b(h) P(w | shorter h)
-for kept sequences and b(h) P(w | shorter h) for all others, where b(h) is the
-mass that the kept sequences of h leave.  All probabilities of a context add
-up to 1.
+discounted shares: P(w | h) = (c(hw) - D) / c(h) for kept sequences and
+b(h) P(w | shorter h) for all others, where b(h) spreads the mass that the
+kept sequences of h leave over the words that have none.  All probabilities of
+a context add up to 1.
 
 The automaton has a state for each context.  An arc reads a word, adds its
 log-probability and leads to the longest context that the words read so far
@@ -100,27 +100,29 @@ class Model:
         p1 = 10.0**self.unigram
         pair_state = {ab: CORE + 1 + k for k, ab in enumerate(sorted({(a, b) for a, b, _ in triples if (a, b) in pairs}))}
         n = CORE + 1 + len(pair_state)
-        left = np.ones(n)
-        for (a, _), k in pairs.items():
-            left[1 + a] -= (k - DISCOUNT) / self.context[a]
-        for (a, b, _), k in triples.items():
-            if (a, b) in pair_state:
-                left[pair_state[a, b]] -= (k - DISCOUNT) / pairs[a, b]
         fall = np.zeros(n, np.int64)  # where the failure arc leads
         for (_, b), s in pair_state.items():
             fall[s] = 1 + b
         after = lambda a, b: pair_state.get((a, b), 1 + b)
+        left, rest = np.ones(n), np.ones(n)  # mass that kept sequences leave, and what the shorter context gives to the other words
         p2 = {}
         for w in range(CORE - 1):
             self.arcs[w] = (float(self.unigram[w]), 1 + w)
         for (a, b), k in pairs.items():
-            p2[a, b] = (k - DISCOUNT) / self.context[a] + left[1 + a] * p1[b]
+            p2[a, b] = (k - DISCOUNT) / self.context[a]
+            left[1 + a] -= p2[a, b]
+            rest[1 + a] -= p1[b]
             self.arcs[(1 + a) * CORE + b] = (log10(p2[a, b]), after(a, b))
+        least = ADDED / self.mass  # the unseen words' share is never kept
+        back = left[: CORE + 1] / np.maximum(rest[: CORE + 1], least)
         for (a, b, w), k in triples.items():
             s = pair_state.get((a, b))
             if s is not None:
-                shorter = p2[b, w] if (b, w) in p2 else left[1 + b] * p1[w]
-                self.arcs[s * CORE + w] = (log10((k - DISCOUNT) / pairs[a, b] + left[s] * shorter), after(b, w))
+                p = (k - DISCOUNT) / pairs[a, b]
+                left[s] -= p
+                rest[s] -= p2[b, w] if (b, w) in p2 else back[1 + b] * p1[w]
+                self.arcs[s * CORE + w] = (log10(p), after(b, w))
+        left /= np.maximum(rest, 1e-12)
         weight = np.log10(left)
         whole = weight.copy()  # of all failure arcs down to the root
         for s in range(CORE + 1, n):
