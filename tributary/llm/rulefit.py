@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tributary.llm.text import WORD
 
-ROWS, TREES, DEPTH, BINS, LEAF = 20_000, 24, 3, 64, 25
+ROWS, TREES, DEPTH, BINS = 20_000, 24, 3, 64
+#: Rows that a leaf and a rule hold at least: a 200th of the sample, between these.
+LEAF = (2, 25)
 RATE, PENALTY, STEPS = 0.3, 0.002, 400
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "lines", "distinct", "longest_run")
 
@@ -97,16 +99,21 @@ class Ensemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def _leaf(rows: int) -> int:
+    return min(max(LEAF[0], rows // 200), LEAF[1])
+
+
 def _grow(x: np.ndarray, edges: list[np.ndarray], binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[list[Rule], np.ndarray]:
     """One tree by gain of the second-order loss: the rules of all its nodes, and what its leaves add to each row."""
     rules, add = [], np.zeros(len(x))
+    leaf = _leaf(len(x))
 
     def node(rows: np.ndarray, terms: tuple, depth: int) -> None:
         if terms:
             rules.append(Rule(terms))
         gs, hs = g[rows].sum(), h[rows].sum()
         best = (1e-3, None)
-        if depth < DEPTH and len(rows) >= 2 * LEAF:
+        if depth < DEPTH and len(rows) >= 2 * leaf:
             for f in range(x.shape[1]):
                 k = len(edges[f])
                 if not k:
@@ -114,7 +121,7 @@ def _grow(x: np.ndarray, edges: list[np.ndarray], binned: np.ndarray, g: np.ndar
                 b = binned[rows, f]
                 gl, hl, nl = (np.cumsum(np.bincount(b, v, k + 1))[:-1] for v in (g[rows], h[rows], np.ones(len(rows))))
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                gain[(nl < LEAF) | (len(rows) - nl < LEAF)] = 0
+                gain[(nl < leaf) | (len(rows) - nl < leaf)] = 0
                 j = int(np.argmax(gain))
                 if gain[j] > best[0]:
                     best = (gain[j], (f, j))
@@ -149,7 +156,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
     columns: dict[bytes, tuple[Rule, np.ndarray]] = {}
     for r in rules:
         c = r.holds(x)
-        if LEAF <= c.sum() <= len(y) - LEAF:
+        if _leaf(len(y)) <= c.sum() <= len(y) - _leaf(len(y)):
             key = np.packbits(c).tobytes()
             if key not in columns or len(r.terms) < len(columns[key][0].terms):
                 columns[key] = (r, c)
