@@ -78,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard": jaccard.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
