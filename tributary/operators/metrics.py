@@ -186,7 +186,9 @@ def r2(gt: DataFrame, sim: DataFrame, how: str = "inner", fill=0, group=None) ->
 
 
 def pearson(gt: DataFrame, sim: DataFrame, how: str = "inner", fill=0, group=None) -> DataFrame:
-    return _by(join(gt, sim, how, fill, group), group).agg(F.corr("value_gt", "value_sim").alias("value"))
+    """Null where either side doesn't vary."""
+    spread = F.stddev_pop("value_gt") * F.stddev_pop("value_sim")
+    return _by(join(gt, sim, how, fill, group), group).agg((F.covar_pop("value_gt", "value_sim") / F.nullif(spread, F.lit(0.0))).alias("value"))
 
 
 def ks_test(gt: DataFrame, sim: DataFrame, group=None) -> DataFrame:
