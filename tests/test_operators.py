@@ -163,6 +163,7 @@ def test_network_statistics_of_a_small_graph(spark):
     assert one(network.modularity(e, parts)) == pytest.approx(5 / 6 + 1 / 6 - (100 + 4) / 144)
 
 
+#: The published example of a reconstruction.
 GOLDEN = [  # node, user, type, second, parent, root and what parents and roots should be
     ("A", "a", "tweet", 0, "A", "A", "A", "A"), ("B", "b", "retweet", 1, "?", "A", "A", "A"), ("C", "c", "retweet", 2, "?", "A", "A", "A"), ("D", "d", "reply", 3, "A", "?", "A", "A"),
     ("E", "e", "reply", 4, "D", "?", "D", "A"), ("F", "f", "retweet", 5, "?", "A", "B", "A"), ("G", "g", "reply", 6, "B", "?", "B", "A"), ("H", "h", "tweet", 7, "H", "H", "H", "H"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SECONDS = {"s": 1, "m": 60, "h": 3600, "H": 3600, "d": 86400, "D": 86400}
 UNITS = {"h": "hour", "H": "hour", "d": "day", "D": "day", "m": "minute", "M": "month", "Y": "year"}
-#: Host after the scheme, without user part or www.
+#: Fixed value: the pattern of a host after the scheme, without user part or www.
 DOMAIN = r"(?:https?:)(?:\/\/)?(?:[^@\n]+@)?(?:www\.)?([^:\/\n]+)"
 
 
