@@ -17,7 +17,7 @@ from tributary.plans.scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars", rounds: int = 60) -> DataFrame:
     """``edges`` (a, b), any order, to (node, root): every node that has an edge but the roots, root the smallest of its component."""
     own = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    state, current, before = None, own, None
+    current = own
     for k in range(rounds):
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -28,10 +28,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars", rounds:
         current = scratch.save(small, f"{name}{k}")
         if k > 0:
             scratch.drop(f"{name}{k - 1}")
-        state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        # settled: every node but the roots has one edge, to a node that has none upwards
+        nodes = current.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        if current.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and nodes.filter("n > 1").isEmpty():
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
