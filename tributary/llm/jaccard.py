@@ -105,7 +105,7 @@ def _sketches(size: int, percent: int, classes: int):
 
 
 def _deal(parts: int):
-    """A page's shingles with their places, by bucket of the hash."""
+    """A page's shingles with their places (as differences, which compress), by bucket of the hash."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -118,13 +118,13 @@ def _deal(parts: int):
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for at in np.split(order, cuts):
-                    yield pd.DataFrame({"bucket": [int(bucket[at[0]])], "page": [page], "hashes": [h[at].tobytes()], "places": [place[at].tobytes()]})
+                    yield pd.DataFrame({"bucket": [int(bucket[at[0]])], "page": [page], "hashes": [h[at].tobytes()], "places": [np.diff(place[at], prepend=np.uint32(0)).tobytes()]})
 
     return run
 
 
 def _frequencies(f: pd.DataFrame) -> pd.DataFrame:
-    """For each page the places of its shingles that several sets hold, and how many."""
+    """For each page the places of its shingles that several sets hold, and how many (255: as many or more, which keeps one global order)."""
     sizes = [len(x) // 8 for x in f["hashes"]]
     h = np.frombuffer(b"".join(f["hashes"]), np.uint64)
     _, which, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -134,7 +134,8 @@ def _frequencies(f: pd.DataFrame) -> pd.DataFrame:
         own = df[at : at + size]
         some = own > 1
         if some.any():
-            rows.append((page, np.frombuffer(places, np.uint32)[some].tobytes(), own[some].tobytes()))
+            at_ = np.cumsum(np.frombuffer(places, np.uint32), dtype=np.uint32)[some]
+            rows.append((page, at_.tobytes(), np.minimum(own[some], 255).astype(np.uint8).tobytes()))
         at += size
     return pd.DataFrame(rows, columns=["page", "places", "dfs"])
 
@@ -148,7 +149,7 @@ def _windows(percent: int):
             h, rest = np.frombuffer(r.first, np.uint64), np.frombuffer(r.rest, np.uint64)
             df = np.ones(len(h), np.uint32)
             if len(right):
-                df[np.frombuffer(b"".join(right["places"]), np.uint32)] = np.frombuffer(b"".join(right["dfs"]), np.uint32)
+                df[np.frombuffer(b"".join(right["places"]), np.uint32)] = np.frombuffer(b"".join(right["dfs"]), np.uint8)
             a = b = 0
             for digest, n, c, c2 in zip(r.digests, r.sizes, np.frombuffer(r.counts, np.int32), np.frombuffer(r.rests, np.int32)):
                 if c or c2:
@@ -303,7 +304,7 @@ def components_of(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFram
     """``docs`` (doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    classes = np.uint64(max(1, min(4, 40 // (100 - percent))))  # a class should be well larger than a window
+    classes = np.uint64(max(1, min(4, 60 // (100 - percent))))  # a class should be well larger than a window
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     sketch = scratch.save(texts.mapInPandas(
