@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Bounds on what a worker remembers: results of words, compatibility of pairs.
-WORDS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 150_000, 400_000, 64
+WORDS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 150_000, 250_000, 64
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -53,7 +53,7 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a space mark after another character; words aren't independent")
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str, str, int]] = {}
+        self.words: dict[str, tuple[str, int, str | None]] = {}
         self.older = self.words
         #: Ids from here on stand for their pieces' text.
         self.plain = max([*self.byte_of, *self.silent, self.unknown]) + 1
@@ -62,8 +62,9 @@ class Encoder:
         for p in reached:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.own = {p: p for p in reached}
         #: The next shorter piece at the same place.
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in reached), p[0]) for p in reached if len(p) > 1}
+        self.shorter = {p: next((self.own[p[:k]] for k in range(len(p) - 1, 1, -1) if p[:k] in reached), p[0]) for p in reached if len(p) > 1}
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the best-scored pair of neighbours until none is a piece."""
@@ -94,7 +95,8 @@ class Encoder:
         failed = bytearray(n // 8 + 1)
         known, shorter = self.compatible.get, self.shorter
         taken: list[str] = []
-        start, piece = 0, word[: longest[0]]
+        own = self.own.get  # pieces that are remembered share one string
+        start, piece = 0, own(word[: longest[0]], word[: longest[0]])
         while True:
             left = taken[-1] if taken else None
             while piece:
@@ -108,7 +110,8 @@ class Encoder:
                 taken.append(piece)
                 if end == n:
                     return taken
-                start, piece = end, word[end : longest[end]]
+                piece = word[end : longest[end]]
+                start, piece = end, own(piece, piece)
             else:
                 if not taken:
                     raise ValueError(f"no encoding of {word!r}")
@@ -128,14 +131,14 @@ class Encoder:
                 out.append(self.unknown)
         return tuple(out)
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str, int]:
-        """ids, the ids as text, the decoded word and the number of ids."""
+    def word(self, word: str) -> tuple[str, int, str | None]:
+        """The ids of a word as text, their number, and the decoded word where it isn't the word itself."""
         found = self.words.get(word)
         if found is None:
             found = self.older.get(word)
             if found is None:
                 ids = self.ids(word)
-                found = (ids, " ".join(map(str, ids)), self._text(ids) if min(ids) < self.plain else word.replace(MARK, " "), len(ids))
+                found = (" ".join(map(str, ids)), len(ids), self._text(ids) if min(ids) < self.plain else None)
             if len(word) <= LONGEST_KEPT:
                 if len(self.words) >= WORDS_KEPT:  # what wasn't asked for in a whole turn is forgotten
                     self.words, self.older = {}, self.words
@@ -149,7 +152,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text and the end id."""
-        out = [i for w in self.marked(text or "") for i in self.word(w)[0]]
+        out = [int(i) for w in self.marked(text or "") for i in self.word(w)[0].split()]
         return [*out, self.end]
 
     def _text(self, ids) -> str:
@@ -175,11 +178,12 @@ class Encoder:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and the digests of the ids and of the decoded text."""
         known, find = self.words.get, self.word
-        words = [known(w) or find(w) for w in self.marked(text or "")]
-        ids = " ".join([*[w[1] for w in words], str(self.end)])
-        decoded = "".join([w[2] for w in words])
+        marked = self.marked(text or "")
+        words = [known(w) or find(w) for w in marked]
+        ids = " ".join([*[w[0] for w in words], str(self.end)])
+        decoded = "".join([m if w[2] is None else w[2] for m, w in zip(marked, words)]).replace(MARK, " ")
         decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        return sum(w[3] for w in words) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        return sum([w[1] for w in words]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
