@@ -316,6 +316,46 @@ def test_all_next_tokens_add_up_to_one_and_words_outside_are_joined(spark, monke
     assert all(math.isfinite(x) for x in full.values()) and sum(full.values()) > sum(part.values()) - 20
 
 
+@pytest.mark.parametrize("hot, bits", [(500_000, 1 << 28), (50, 1 << 10)])
+def test_scores_count_the_sequences_of_all_words(spark, monkeypatch, hot, bits):
+    """More words than an automaton of 2,000 holds; the walk by its definition, over counts of everything."""
+    rng = random.Random(4)
+    phrases = [[f"w{rng.randrange(4000)}" for _ in range(6)] for _ in range(900)]
+    rows = [(i, " ".join(w for _ in range(12) for w in rng.choice(phrases))) for i in range(400)] + [(900, None), (901, "w1 never w2"), (None, "w3 w4"), (5, "w5")]
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "FILTER", bits)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    texts = [["<", *WORD.findall(low(t)), ">"] for _, t in rows]
+    for d, t in zip((r[0] for r in rows), texts):
+        if d is None or d % 10:
+            one.update(t[1:])
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+    starts = sum(d is None or d % 10 != 0 for d, _ in rows)
+    mass = sum(one.values()) + 0.1 * (len(one) + 1)
+    kept = {2: {g: c for g, c in two.items() if c >= 3}, 3: {g: c for g, c in three.items() if c >= 3}}
+    after = collections.defaultdict(list)
+    for g in [*kept[2], *kept[3]]:
+        after[g[:-1]].append(g[-1])
+    cache = {}
+
+    def p(h, w):
+        if not h:
+            return (one[w] + 0.1) / mass
+        c = two[h] if len(h) == 2 else starts if h == ("<",) else one[h[0]]
+        if (*h, w) in kept[len(h) + 1]:
+            return (kept[len(h) + 1][*h, w] - 0.75) / c
+        if h not in cache:
+            cache[h] = (1 - sum(p(h, v) for v in after[h])) / (1 - sum(p(h[1:], v) for v in after[h]))
+        return cache[h] * p(h[1:], w)
+
+    want = [sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))) for t in texts]
+    got = lm.scores(df, F.coalesce(F.col("doc_id") % 10 != 0, F.lit(True))).collect()
+    assert len(one) > lm.CORE and len(kept[3]) > 1000
+    assert sorted((str(r["doc_id"]), f"{r['score']:.5f}") for r in got) == sorted((str(d), f"{w:.5f}") for (d, _), w in zip(rows, want))
+
+
 # 6 and 9 sharding, mixing
 
 

@@ -2,24 +2,33 @@
 
 Tokens are a text's words (A-Z lowered) and one end.  Unigrams are smoothed by
 adding 0.1 over all words seen in training and one more for the unseen; this
-is the base score.  Two- and three-word sequences of frequent words get
-discounted shares: P(w | h) = (c(hw) - D) / c(h) for kept sequences and
-b(h) P(w | shorter h) for all others, where b(h) spreads the mass that the
-kept sequences of h leave over the words that have none.  All probabilities of
-a context add up to 1.
+is the base score.  Two- and three-word sequences of any words, the marks of
+beginning and end included, that occur LEAST times get discounted shares:
+P(w | h) = (c(hw) - D) / c(h) for kept sequences and b(h) P(w | shorter h) for
+all others, where b(h) spreads the mass that the kept sequences of h leave over
+the words that have none.  All probabilities of a context add up to 1.
 
 The automaton has a state for each context.  An arc reads a word, adds its
 log-probability and leads to the longest context that the words read so far
 end in; a failure arc adds log b(h), reads nothing and leads to the context
-that is one word shorter.  A text is scored in one walk from left to right.
-
-What grows with the corpus stays distributed: words are counted in all
-training texts, summed in each task before they are shuffled.  The FREQUENT
-most frequent words (of at most LONGEST bytes) and the KEPT most frequent
-sequences of the CORE first words make up the automaton, which is broadcast:
-its size is bounded by these parameters, not by the data.  Any other word of a
-text meets its count in a join by word; in the walk it leads to the root, as
-no kept sequence holds it.
+that is one word shorter.  As a sequence of three is kept only where both of
+its pairs are, the sum over a walk is that of one term for each word, pair and
+triple of the text: a kept sequence's term takes back what the failure arcs
+and the shorter arc would have added.  Terms add up in any order, so that
+texts and terms meet by joins.
+
+All that grows with the corpus stays distributed: words, pairs and triples are
+counted in all training texts, summed in each task before they are shuffled,
+and so are the terms.  Sequences are told apart by 64-bit hashes of their words
+and pairs.  Two things of bounded size are broadcast, neither of which changes
+a result: filters of one hash (a sequence is only counted where its parts may
+be kept, a term only looked up where there may be one; FILTER bits at most,
+larger corpora are filtered less), and the HOT most frequent terms, which
+then need no join.  The FREQUENT most frequent words (of at most LONGEST bytes)
+are broadcast too; any other word of a text meets its count in a join.
+
+``train`` collects a bounded automaton (KEPT sequences of the CORE first words)
+to look at on the driver; ``scores`` doesn't use it.
 
 Defined cases: a null text is the empty text: its one token is the end; with
 no training text all scores are those of an empty model (0); repeated rows
@@ -29,6 +38,7 @@ left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
@@ -42,12 +52,14 @@ from tributary.plans.scratch import Scratch
 
 ADDED, DISCOUNT = 0.1, 0.75
 FREQUENT, LONGEST, KEPT = 200_000, 64, 100_000
-#: Words that take part in sequences of two and of three, the marks of beginning and end included.
+#: Words of the automaton to look at that take part in sequences of two and of three, the marks included.
 CORE, CORE3 = 2_000, 300
 #: Sequences seen less often aren't kept.
 LEAST = 3
 #: Distinct words, and sequence keys, that a task holds before it passes them on.
 HELD_WORDS, HELD_KEYS = 300_000, 2_000_000
+#: Terms that are broadcast, and bits of a filter at most.
+HOT, FILTER = 500_000, 1 << 28
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -193,14 +205,19 @@ def _sequences(model) -> callable:
     return run
 
 
-def train(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFrame, Model]:
-    """The table of all counts (word; null for the end) and the bounded model."""
+def vocabulary(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, Model]:
+    """The training texts, the table of all counts (word; null for the end) and the frequent words."""
     fit = docs.filter(training).select("text")
     counts = scratch.save(fit.mapInPandas(_counts, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     ends = counts.filter(F.col("word").isNull()).collect()
-    model = Model([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, ends[0]["c"] if ends else 0)
+    return fit, counts, Model([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, ends[0]["c"] if ends else 0)
+
+
+def train(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFrame, Model]:
+    """The table of all counts (word; null for the end) and the bounded automaton to look at."""
+    fit, counts, model = vocabulary(docs, training, scratch)
     held = docs.sparkSession.sparkContext.broadcast(model)
     summed = fit.mapInPandas(_sequences(held), "n int, key bigint, c bigint").groupBy("n", "key").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST)
     kept = {n: [(r["key"], r["c"]) for r in summed.filter(F.col("n") == n).orderBy(F.desc("c"), "key").limit(KEPT).collect()] for n in (2, 3)}
@@ -210,25 +227,183 @@ def train(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFram
     return counts, model.build(pairs, triples)
 
 
-def _parts(model) -> callable:
-    kind = ["uid", "doc_id", "n_tokens", "known", "base", "walked", "words", "times"]
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.md5(word).digest()[:8], "big", signed=True)
+
+
+#: No word holds a space.
+BEGIN, END = _hash(b" begin"), _hash(b" end")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = _hash(word)
+        return h
+
+
+def _hash_column(word: Column) -> Column:
+    """``_hash`` of a word, END of null."""
+    half = lambda i: F.conv(F.substring(F.md5(word), i, 8), 16, 10).cast("bigint")
+    return F.coalesce(F.shiftleft(half(1), 32).bitwiseOR(half(9)), F.lit(END))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    z = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
+
+
+class Filter:
+    """A bit for each slot that a row of (x, y) falls into; y is 0 for single hashes."""
+
+    def __init__(self, kept: DataFrame, rows: int):
+        bits = 1 << 10
+        while bits < min(FILTER, 16 * rows):
+            bits *= 2
+        self.mask = bits - 1
+        slot = F.expr(f"(x ^ shiftrightunsigned(y, 17)) & {self.mask}L")
+        word = kept.select(slot.alias("s")).select(F.expr("shiftright(s, 6)").alias("at"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("bit"))
+        got = word.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits = np.zeros(bits // 64, np.int64)
+        self.bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+
+    def may_hold(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        slot = (x ^ (y.view(np.uint64) >> np.uint64(17)).view(np.int64)) & np.int64(self.mask)
+        return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _hashes(texts, known: _Hashes) -> np.ndarray:
+    """The hashes of the texts' tokens, each text between BEGIN and END."""
+    if len(known) > HELD_WORDS:
+        known.clear()
+    ids: list[int] = []
+    for t in texts:
+        ids.append(BEGIN)
+        ids.extend(map(known.__getitem__, tokens(t)))
+        ids.append(END)
+    return np.array(ids, np.int64)
+
+
+def _counted(n: int, parts) -> callable:
+    """x, y, c of the sequences of n tokens (2: hashes of words, 3: of pairs) both of whose parts may be kept, by task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, known = parts.value, _Hashes()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            x, y = (np.concatenate(v) for v in zip(*held))
+            held.clear()
+            _, at, c = np.unique(_joined(x, y), return_index=True, return_counts=True)
+            return pd.DataFrame({"x": x[at], "y": y[at], "c": c.astype(np.int64)})
+
+        for f in frames:
+            x = _hashes(f["text"], known)
+            go = x[:-1] != END
+            if n == 2:
+                may = kept.may_hold(x, np.zeros_like(x)) | (x == BEGIN)
+                go &= may[:-1] & may[1:]
+                held.append((x[:-1][go], x[1:][go]))
+            else:
+                go &= kept.may_hold(x[:-1], x[1:])
+                k, both = _joined(x[:-1], x[1:]), go[:-1] & go[1:]
+                held.append((k[:-1][both], k[1:][both]))
+            if sum(len(v) for v, _ in held) > HELD_KEYS:
+                yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+def terms(fit: DataFrame, counts: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """x, y, c and v, the term of the walk, of all contexts of one word (y is 0), kept pairs and kept triples."""
+    spark = fit.sparkSession
+
+    def kept(n: int, parts: DataFrame) -> DataFrame:
+        held = spark.sparkContext.broadcast(Filter(parts, parts.count()))
+        found = fit.mapInPandas(_counted(n, held), "x bigint, y bigint, c bigint").groupBy("x", "y").agg(F.sum("c").alias("c"))
+        return scratch.save(found.filter(F.col("c") >= LEAST), f"kept{n}")
+
+    joined = F.pandas_udf(lambda x, y: pd.Series(_joined(x.to_numpy(), y.to_numpy())), "bigint")
+    words = counts.select(_hash_column(F.col("word")).alias("h"), "c")
+    two = kept(2, words.filter(F.col("c") >= LEAST).select(F.col("h").alias("x"), F.lit(0).cast("bigint").alias("y")))
+    three = kept(3, two)
+    start = spark.createDataFrame([(BEGIN, model.texts)], "h bigint, c bigint")
+    before = words.unionByName(start).select(F.col("h").alias("x"), F.col("c").alias("cx"))
+    then = words.select(F.col("h").alias("y"), ((F.col("c") + ADDED) / F.lit(float(model.mass))).alias("p1"))
+    pairs = two.join(before, "x").join(then, "y").withColumn("p2", (F.col("c") - DISCOUNT) / F.col("cx")).withColumn("k", joined("x", "y"))
+    pairs = scratch.save(pairs.select("x", "y", "k", "c", "cx", "p1", "p2"), "pairs")
+    back = lambda p, q, least: F.log10((1 - F.sum(p)) / F.greatest(1 - F.sum(q), F.lit(float(least))))
+    one_back = scratch.save(pairs.groupBy("x").agg(F.first("cx").alias("c"), back("p2", "p1", ADDED / model.mass).alias("b1")), "back1")
+    triples = three.join(pairs.select(F.col("k").alias("x"), F.col("c").alias("cx")), "x").join(
+        pairs.select(F.col("k").alias("y"), "p2"), "y").withColumn("p3", (F.col("c") - DISCOUNT) / F.col("cx"))
+    triples = scratch.save(triples.select("x", "y", "c", "p2", "p3"), "triples")
+    two_back = scratch.save(triples.groupBy("x").agg(back("p3", "p2", 1e-12).alias("b2")), "back2")
+    one = one_back.select("x", F.lit(0).cast("bigint").alias("y"), "c", F.col("b1").alias("v"))
+    more = pairs.join(one_back.select("x", "b1"), "x").join(two_back.withColumnRenamed("x", "k"), "k", "left").select(
+        "x", "y", "c", (F.log10("p2") - F.log10("p1") - F.col("b1") + F.coalesce("b2", F.lit(0.0))).alias("v"))
+    most = triples.join(two_back, "x").select("x", "y", "c", (F.log10("p3") - F.log10("p2") - F.col("b2")).alias("v"))
+    return scratch.save(one.unionByName(more).unionByName(most), "terms")
+
+
+class Terms:
+    """What a task needs of the table of terms: its filter and its most frequent rows, by their hash."""
+
+    def __init__(self, table: DataFrame):
+        self.filter = Filter(table, table.count())
+        top = table.orderBy(F.desc("c"), "x", "y").limit(HOT).select("x", "y", "v").toArrow()
+        x, y, v = (top[c].to_numpy() for c in ("x", "y", "v"))
+        k = _joined(x, y)
+        order = np.argsort(k)
+        self.k, self.x, self.y, self.v = k[order], x[order], y[order], v[order]
+
+    def look_up(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that are here, 0 for others, and whether the table of all has to be asked."""
+        if not len(self.k):
+            return np.zeros(len(x)), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(self.k, _joined(x, y)), len(self.k) - 1)
+        here = (self.x[at] == x) & (self.y[at] == y)
+        return np.where(here, self.v[at], 0.0), ~here
+
+
+def _parts(model, table) -> callable:
+    kind = ["uid", "doc_id", "n_tokens", "known", "base", "walked", "words", "times", "xs", "ys"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        m = model.value
+        m, held, hashes = model.value, table.value, _Hashes()
         uid = TaskContext.get().partitionId() << 40
         find = m.id_of.get
         for f in frames:
+            x = _hashes(f["text"], hashes)
+            starts = np.flatnonzero(x == BEGIN)
+            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+            go = x[:-1] != END
+            k, both = _joined(x[:-1], x[1:]), go[:-1] & go[1:]
+            gx = np.concatenate([x[:-1][go], x[:-1][go], k[:-1][both]])
+            gy = np.concatenate([np.zeros(int(go.sum()), np.int64), x[1:][go], k[1:][both]])
+            who = np.concatenate([owner[:-1][go], owner[:-1][go], owner[:-2][both]])
+            may = held.filter.may_hold(gx, gy)
+            gx, gy, who = gx[may], gy[may], who[may]
+            v, ask = held.look_up(gx, gy)
+            walked = np.bincount(who, v, len(starts))
+            gx, gy, who = gx[ask], gy[ask], who[ask]
+            order = np.argsort(who, kind="stable")
+            cuts = np.searchsorted(who[order], np.arange(1, len(starts)))
+            xs, ys = np.split(gx[order], cuts), np.split(gy[order], cuts)
             rows = []
-            for d, t in zip(f["doc_id"], f["text"]):
+            for i, (d, t) in enumerate(zip(f["doc_id"], f["text"])):
                 words = tokens(t)
                 ids = [find(w, -1) for w in words]
-                rest = Counter([w for w, i in zip(words, ids) if i < 0])
+                rest = Counter([w for w, j in zip(words, ids) if j < 0])
                 ids.append(m.end)
-                x = np.array(ids, np.int64)
-                x = x[x >= 0]
-                rows.append((uid, d, len(ids), int(m.seen[x].sum()), float(m.unigram[x].sum()), m.walk(ids), list(rest.keys()), list(rest.values())))
+                own = np.array(ids, np.int64)
+                own = own[own >= 0]
+                base = float(m.unigram[own].sum())
+                rows.append((uid, d, len(ids), int(m.seen[own].sum()), base, base + walked[i], list(rest.keys()), list(rest.values()), xs[i], ys[i]))
                 uid += 1
             yield pd.DataFrame(rows, columns=kind)
 
@@ -239,10 +414,12 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    counts, model = train(docs, training, scratch)
-    held = spark.sparkContext.broadcast(model)
-    kind = f"uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, known bigint, base double, walked double, words array<binary>, times array<bigint>"
-    parts = scratch.save(docs.select("doc_id", "text").mapInPandas(_parts(held), kind), "parts")
+    fit, counts, model = vocabulary(docs, training, scratch)
+    table = terms(fit, counts, model, scratch)
+    held, arcs = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Terms(table))
+    kind = (f"uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, known bigint, base double, walked double, "
+            "words array<binary>, times array<bigint>, xs array<bigint>, ys array<bigint>")
+    parts = scratch.save(docs.select("doc_id", "text").mapInPandas(_parts(held, arcs), kind), "parts")
     rare = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("r")).select("uid", F.col("r.words").alias("word"), F.col("r.times").alias("times"))
     mass = model.mass if model.total else ADDED
     found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -250,11 +427,13 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10((F.col("c") + ADDED) / F.lit(mass))).alias("rare_base"),
     )
+    asked = parts.select("uid", F.explode(F.arrays_zip("xs", "ys")).alias("r")).select("uid", F.col("r.xs").alias("x"), F.col("r.ys").alias("y"))
+    more = asked.join(table.select("x", "y", "v"), ["x", "y"]).groupBy("uid").agg(F.sum("v").alias("met"))
     zero = F.lit(0.0)
-    return parts.drop("words", "times").join(sums, "uid", "left").select(
+    return parts.drop("words", "times", "xs", "ys").join(sums, "uid", "left").join(more, "uid", "left").select(
         "doc_id", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("walked") + F.coalesce("rare_base", zero)).alias("score"),
+        (F.col("walked") + F.coalesce("rare_base", zero) + F.coalesce("met", zero)).alias("score"),
     )
