@@ -403,6 +403,23 @@ def test_mixture_reaches_its_targets(spark):
     assert set(mixing.mixed_documents(df).columns) == set(df.columns)
 
 
+def test_small_sources_reach_their_targets_beside_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 12)
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(3000, 9000), "en", "abcdef"[i % 6]) for i in range(480)]  # blocks of 1,000 words
+    small = {"t1": 50, "t2": 300, "t3": 1_000, "t4": 3_000, "t5": 9_000}
+    for name, n in small.items():
+        rows += [(1000 + len(rows) + k, "w " * (n // 5), "en", name) for k in range(5)]
+    df, _ = documents(spark, rows)
+    name = {r[0]: r[3] for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in mixing.mixture(df).collect():
+        taken[name[r["doc_id"]]] += r["taken"]
+        target[name[r["doc_id"]]] = r["target"]
+    assert all(target[s] == 2 * n for s, n in small.items())
+    assert all(abs(taken[s] - target[s]) <= 0.015 * target[s] + 3 for s in target)
+
+
 # 7 top-k
 
 

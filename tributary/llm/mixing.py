@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 1. Each source's documents are shuffled by a seeded key and laid end to end;
-   the line of words is cut into blocks of equal length.
+   the line of words is cut into blocks of equal length, shorter ones where
+   the source's target has fewer than PARTS of them.
 2. Targets: weights share the wished total; what a source cannot give (more
    than ``most`` times its size) goes to the others by weight, until none is
    above its bound.
 3. Slot i of the schedule has the golden-ratio point i * phi mod 1.  Mapped
-   through the cumulative targets it names a source: any stretch of slots
-   holds the sources in proportion.
+   through the cumulative targets, counted in blocks, it names a source: any
+   stretch of slots holds the sources' words in proportion.
 4. The k-th slot of a source takes its block k mod (number of blocks); past
    the last block the source starts again, ``most`` times at most.
 
@@ -25,6 +26,8 @@ empty table gives no rows; other columns of the input are kept by
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ from tributary.plans.scratch import Scratch
 GOLDEN = 2654435769
 #: The schedule has about this many slots, more once blocks have BLOCK_MOST words.
 SLOTS, BLOCK_MOST = 1 << 18, 1 << 16
+#: A source's target has so many blocks at least (down to blocks of a word), so that rounding to blocks is small beside it.
+PARTS = 512
 #: The circle of points is cut into so many cells to find a point's source by an equi-join.
 CELL_BITS = 12
 
@@ -68,24 +73,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], factor: float, most: flo
     )
 
 
-def schedule(goal: DataFrame, slots: int, block: int, most: int, buckets: int) -> DataFrame:
-    """slot, __src, __block, epoch; ``goal`` has __src, source_size and target."""
+def schedule(goal: DataFrame, slots: int, most: int, buckets: int) -> DataFrame:
+    """slot, __src, __block, epoch; ``goal`` has __src, source_size, __length (of a block) and __share (of the slots)."""
     spark = goal.sparkSession
     run = W.orderBy("__src")
-    edge = goal.withColumn("__to", F.sum("target").over(run)).withColumn("__all", F.sum("target").over(W.partitionBy()))
+    edge = goal.withColumn("__to", F.sum("__share").over(run)).withColumn("__all", F.sum("__share").over(W.partitionBy()))
     unit = lambda x: F.round(x / F.col("__all") * float(HASH_RANGE)).cast("bigint")
-    arcs = edge.filter("target > 0").withColumn("__hi", unit(F.col("__to"))).withColumn(
+    arcs = edge.filter("__share > 0").withColumn("__hi", unit(F.col("__to"))).withColumn(
         "__lo", F.coalesce(F.lag("__hi").over(run), F.lit(0))).filter("__hi > __lo")
     width = HASH_RANGE >> CELL_BITS
-    arcs = arcs.select("__src", "source_size", "__lo", "__hi", F.explode(F.expr(f"sequence(__lo div {width}, (__hi - 1) div {width})")).alias("__cell"))
+    arcs = arcs.select("__src", "source_size", "__length", "__lo", "__hi", F.explode(F.expr(f"sequence(__lo div {width}, (__hi - 1) div {width})")).alias("__cell"))
     points = spark.range(slots).select(
         F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(HASH_RANGE)) * F.lit(GOLDEN), F.lit(HASH_RANGE)).alias("__u"),
     ).withColumn("__cell", F.expr(f"__u div {width}"))
-    named = points.join(arcs, "__cell").filter("__u >= __lo and __u < __hi").select("slot", "__src", "source_size")
+    named = points.join(arcs, "__cell").filter("__u >= __lo and __u < __hi").select("slot", "__src", "source_size", "__length")
     named = named.withColumn("__bucket", F.expr(f"cast(slot * {buckets} div {slots} as int)"))
     ranked = running(named, ["__src"], "__bucket", ["slot"], rank="__k")
     return (
-        ranked.withColumn("__blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+        ranked.withColumn("__blocks", F.expr("(source_size + __length - 1) div __length"))
         .select("slot", "__src", F.expr("__k % __blocks").alias("__block"), F.expr("__k div __blocks").alias("epoch"))
         .filter(F.col("epoch") < most)
     )
@@ -107,22 +112,25 @@ class Mix:
         slim = self.scratch.save(rows.select("doc_id", "__words", "__src", "__key", "__crc"), "rows") if not keep else rows
         n, total = slim.select(F.count(F.lit(1)), F.coalesce(F.sum("__words"), F.lit(0))).first()
         wish = int(total * factor)
-        self.block = max(1, min(BLOCK_MOST, wish // SLOTS))
-        slots = -(-wish // self.block)
+        block = max(1, min(BLOCK_MOST, wish // SLOTS))
         buckets = buckets_for(n)
         slim = slim.withColumn("__bucket", F.floor(hex_fraction(F.col("__key")) * buckets / HASH_RANGE).cast("int"))
         line = running(slim, ["__src"], "__bucket", ["__key", "__crc", "__words"], weight="__words",
                        rank="__r", before="__from", size="__rows", total="source_size")
-        self.goal = self.scratch.save(targets(slim.groupBy("__src").agg(F.sum("__words").alias("source_size")), weights, factor, most), "goal")
-        self.line = line.join(self.goal.select("__src", "target"), "__src")
-        self.slots = schedule(self.goal, slots, self.block, most, buckets_for(slots))
+        goal = targets(slim.groupBy("__src").agg(F.sum("__words").alias("source_size")), weights, factor, most)
+        length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / PARTS))).cast("bigint")
+        goal = goal.withColumn("__length", length).withColumn("__share", F.col("target") * (F.lit(float(block)) / F.col("__length")))
+        self.goal = self.scratch.save(goal, "goal")
+        shares, words_ = self.goal.agg(F.coalesce(F.sum("__share"), F.lit(0.0)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+        slots = -(-wish // block) if shares == words_ else ceil(wish / block * (shares / words_))
+        self.line = line.join(self.goal.select("__src", "target", "__length"), "__src")
+        self.slots = schedule(self.goal, slots, most, buckets_for(slots))
 
     def pieces(self) -> DataFrame:
         """The parts of documents: __block and the words __n that the block has of the document; a text without words has one of none."""
-        b = self.block
         last = "greatest(__from + __words - 1, __from)"
-        cut = self.line.withColumn("__block", F.explode(F.expr(f"sequence(__from div {b}, ({last}) div {b})")))
-        inside = f"least(__from + __words, (__block + 1) * {b}) - greatest(__from, __block * {b})"
+        cut = self.line.withColumn("__block", F.explode(F.expr(f"sequence(__from div __length, ({last}) div __length)")))
+        inside = "least(__from + __words, (__block + 1) * __length) - greatest(__from, __block * __length)"
         return cut.withColumn("__n", F.expr(f"greatest({inside}, 0)"))
 
 
@@ -146,10 +154,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     columns = [c for c in docs.columns]
     mix = Mix(docs, keep=columns, **options)
-    start = mix.line.filter("__words > 0").withColumn("__block", F.expr(f"__from div {mix.block}"))
+    start = mix.line.filter("__words > 0").withColumn("__block", F.expr("__from div __length"))
     return start.join(mix.slots.select("__src", "__block"), ["__src", "__block"]).select(*columns)
 
 
+#: Of equal blocks for all sources, as they are wherever each source has one part in PARTS of the targets or blocks are single words.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
