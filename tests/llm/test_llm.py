@@ -266,6 +266,22 @@ def test_held_out_languages(spark):
     assert len(held) > 20 and (held.lang_pred == held.lang).mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def invented(rng, letters, joint, n=260, words=60):
+    """Texts of invented words of these letters."""
+    known = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(words)]
+    return [joint.join(rng.choice(known) for _ in range(n)) for _ in range(24)]
+
+
+def test_letters_of_all_scripts_count(spark):
+    rng = random.Random(6)
+    span = lambda a, b: [chr(i) for i in range(a, b)]
+    made = {"zh": (span(0x4E00, 0x5100), ""), "ja": (span(0x3042, 0x3090) + span(0x6000, 0x6080), ""), "ru": (span(0x430, 0x450), " "), "el": (span(0x3B1, 0x3CA), " "), "an": (span(97, 123) + list("àéèüöñç"), " ")}
+    rows = [(lang, t) for lang, (letters, joint) in made.items() for t in invented(rng, letters, joint)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.sample(df, F.col("doc_id") % 4 > 0)).filter("doc_id % 4 = 0").collect()
+    assert len(got) == 30 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.5 and r["cost"] < 0.6 for r in got)
+
+
 def test_language_of_odd_texts(spark):
     df, rows = documents(spark)
     got = langid.predict(df, langid.sample(df, F.col("doc_id") < 30))

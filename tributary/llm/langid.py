@@ -11,7 +11,11 @@ root and count a phrase, so that a step is one look-up.  Texts are cut into
 windows of WINDOW characters, where a phrase ends too, and all windows of a
 batch take their steps together in numpy.  Whole texts are parsed.
 
-Only the fitting is bounded: the automata hold at most SAMPLE characters a
+Every letter of the sample has symbols of its own: one for the most frequent
+letters, several for the others, so that any script is told apart in tables of
+bounded width.
+
+Only the fitting is bounded: the automata hold at most SAMPLE symbols a
 language, from distinct labelled texts of at most SAMPLE / 4 characters in
 order of their hash, and at most LANGS languages.
 
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 
 SAMPLE, TEXTS, LANGS, WINDOW = 24_000, 48, 64, 1024
 OTHER, SPACE, BREAK, PAD, FIRST_LETTER = 0, 1, 2, 3, 4
-TABLE = 0x3000
+#: Letters beyond the frequent ones take several symbols, digits to this base; SPELLED marks them until then.
+DIGITS, SPELLED = 16, 255
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -57,25 +62,47 @@ def sample(docs: DataFrame, training: Column) -> list[tuple[str, list[str]]]:
 
 
 class Alphabet:
+    """Symbols of all letters of the sample: one each for the ``most`` frequent, digits to the base of DIGITS for the others.
+
+    The first digit of a letter is told from the further ones.
+    """
+
     def __init__(self, texts: list[str], most: int = 60):
         seen: dict[str, int] = {}
         for t in texts:
             for ch in t.lower():
-                if ch.isalpha() and ord(ch) < TABLE:
+                if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:most]
-        self.size = FIRST_LETTER + len(letters)
-        self.code = np.array([OTHER if chr(i).isalpha() else SPACE for i in range(TABLE)], np.uint8)
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
+        letters, rare = letters[:most], sorted(ord(c) for c in letters[most:])
+        lead = FIRST_LETTER + len(letters)
+        n = 1
+        while DIGITS**n < len(rare):
+            n += 1
+        self.size = lead + (DIGITS * min(n, 2) if rare else 0)
+        self.code = np.array([OTHER if chr(i).isalpha() else SPACE for i in range(0x110000)], np.uint8)
         for k, ch in enumerate(letters):
             self.code[ord(ch)] = FIRST_LETTER + k
+        self.code[rare] = SPELLED
+        self.rare = np.array(rare, np.uint32)
+        place = DIGITS ** np.arange(n - 1, -1, -1)
+        self.digits = (np.arange(len(rare))[:, None] // place % DIGITS + np.where(np.arange(n), lead + DIGITS, lead)).astype(np.uint8)
 
     def codes(self, text: str) -> np.ndarray:
-        """Codes of a text in lower case; anything but letters is a space, and runs of spaces are one."""
+        """Symbols of a text in lower case; anything but letters is a space, and runs of spaces are one."""
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(raw < TABLE, self.code[np.minimum(raw, TABLE - 1)], np.uint8(OTHER))
+        c = self.code[raw]
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != SPACE) | (c[:-1] != SPACE)
-        return c[keep]
+        raw, c = raw[keep], c[keep]
+        spelled = c == SPELLED
+        if spelled.any():
+            n = self.digits.shape[1]
+            times = np.where(spelled, n, 1)
+            at = (np.cumsum(times) - times)[spelled]
+            c = np.repeat(c, times)
+            c[at[:, None] + np.arange(n)] = self.digits[np.searchsorted(self.rare, raw[spelled])]
+        return c
 
 
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -175,7 +202,7 @@ class Parser:
 
 
 def predict(docs: DataFrame, labelled: list[tuple[str, list[str]]], pred: str = "lang_pred", score: str = "score", cost: str = "cost") -> DataFrame:
-    """``docs`` with the language, a score in [0, 1] (the runner-up's share of the phrases of both) and phrases a character."""
+    """``docs`` with the language, a score in [0, 1] (the runner-up's share of the phrases of both) and phrases a symbol."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(Parser(labelled)) if labelled else None
 
