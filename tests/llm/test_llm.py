@@ -282,6 +282,18 @@ def test_letters_of_all_scripts_count(spark):
     assert len(got) == 30 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.5 and r["cost"] < 0.6 for r in got)
 
 
+def test_languages_of_long_texts_and_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 4)
+    monkeypatch.setattr(langid, "TEXTS", 6)
+    rng = random.Random(7)
+    rows = [("book", t) for t in invented(rng, "abcdefg", " ", n=3000)[:8]]
+    rows += [(f"l{k}", t) for k in range(9) for t in invented(rng, "abcdefghijklmnop", " ", n=80)[:8]]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    labelled = langid.sample(df, F.col("doc_id") % 4 > 0)
+    assert [lang for lang, _ in labelled] == sorted({lang for lang, _ in rows}) and all(len(t) <= langid.SAMPLE // 4 for _, texts in labelled for t in texts)
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(df, labelled).collect())
+
+
 def test_language_of_odd_texts(spark):
     df, rows = documents(spark)
     got = langid.predict(df, langid.sample(df, F.col("doc_id") < 30))

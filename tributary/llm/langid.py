@@ -15,9 +15,10 @@ Every letter of the sample has symbols of its own: one for the most frequent
 letters, several for the others, so that any script is told apart in tables of
 bounded width.
 
-Only the fitting is bounded: the automata hold at most SAMPLE symbols a
-language, from distinct labelled texts of at most SAMPLE / 4 characters in
-order of their hash, and at most LANGS languages.
+Only the fitting is bounded, and every labelled language is learned: the
+automata hold at most SAMPLE symbols a language (of more than LANGS languages
+a share each), from at most STRETCH characters of distinct labelled texts of
+any length in order of their hash.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0;
 of equal languages the first by name wins; with no labelled text all are
@@ -37,6 +38,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE, TEXTS, LANGS, WINDOW = 24_000, 48, 64, 1024
+#: Characters of a labelled text that are learned at most.
+STRETCH = SAMPLE // 4
 OTHER, SPACE, BREAK, PAD, FIRST_LETTER = 0, 1, 2, 3, 4
 #: Letters beyond the frequent ones take several symbols, digits to this base; SPELLED marks them until then.
 DIGITS, SPELLED = 16, 255
@@ -45,16 +48,23 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample(docs: DataFrame, training: Column) -> list[tuple[str, list[str]]]:
-    """Distinct labelled texts of each language, bounded by TEXTS and LANGS; two scans, no text is shuffled."""
-    fit = docs.filter(training & F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE // 4)).withColumn("__h", F.xxhash64("text"))
+    """Distinct labelled texts of each language, the first STRETCH characters of longer ones; two scans, no whole text is shuffled.
+
+    TEXTS a language; of more than LANGS languages fewer of each, one at least.
+    """
+    fit = docs.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("__h", F.xxhash64("text"))
     least = W.partitionBy("lang", "__part").orderBy("__h")  # in parts first: a language may hold most of the rows
     parts = fit.select("lang", "__h").distinct().withColumn("__part", F.pmod("__h", F.lit(64))).withColumn("__rn", F.row_number().over(least)).filter(F.col("__rn") <= TEXTS)
     chosen = parts.withColumn("__rn", F.row_number().over(W.partitionBy("lang").orderBy("__h"))).filter(F.col("__rn") <= TEXTS)
-    picked = [(r["lang"], r["__h"]) for r in chosen.orderBy("lang", "__h").limit(TEXTS * LANGS).collect()]
+    of: dict[str, list[int]] = {}
+    for r in chosen.select("lang", "__h").orderBy("lang", "__h").collect():
+        of.setdefault(r["lang"], []).append(r["__h"])
+    most = max(1, min(TEXTS, TEXTS * LANGS // max(1, len(of))))
+    picked = [(lang, h) for lang, hashes in of.items() for h in hashes[:most]]
     if not picked:
         return []
     wanted = docs.sparkSession.createDataFrame(picked, "lang string, __h bigint")
-    texts = fit.select("lang", "__h", "text").join(F.broadcast(wanted), ["lang", "__h"]).groupBy("lang", "__h").agg(F.min("text").alias("text"))
+    texts = fit.select("lang", "__h", F.substring("text", 1, STRETCH).alias("text")).join(F.broadcast(wanted), ["lang", "__h"]).groupBy("lang", "__h").agg(F.min("text").alias("text"))
     got: dict[str, list[str]] = {}
     for r in texts.orderBy("lang", "__h").collect():
         got.setdefault(r["lang"], []).append(r["text"])
@@ -145,7 +155,7 @@ class Parser:
         width = self.alphabet.size
         tables, self.roots, base = [], [], 0
         for _, texts in labelled:
-            parts, left = [], SAMPLE
+            parts, left = [], max(WINDOW, min(SAMPLE, SAMPLE * LANGS // len(labelled)))
             for t in texts:
                 c = self.alphabet.codes(t)[:left]
                 parts += [c, np.array([BREAK], np.uint8)]
