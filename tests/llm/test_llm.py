@@ -322,36 +322,15 @@ def test_base_scores_and_probabilities(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_all_next_tokens_add_up_to_one_and_words_outside_are_joined(spark, monkeypatch):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choice("abcdef") if rng.random() < 0.9 else f"r{rng.randrange(30)}" for _ in range(25)) for _ in range(80)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-
-    from tributary.plans.scratch import Scratch
-
-    _, m = lm.train(df, F.lit(True), Scratch(spark, "test"))
-    assert any(s > lm.CORE for s in range(len(m.weight)))  # states of two words
-    vocabulary = [w.decode() for w in m.id_of]
-    for before in ([], ["a"], ["a", "b"], ["c", "r1"], ["unseen"]):
-        ids = [m.id_of.get(w.encode(), -1) for w in before]
-        start = m.walk(ids)
-        step = lambda i: 10 ** (m.walk([*ids, i]) - start)  # noqa: E731,B023
-        unseen = 10 ** (m.walk([*ids, -1]) - start) * lm.ADDED / m.mass
-        assert sum(step(m.id_of[w.encode()]) for w in vocabulary) + step(m.end) + unseen == pytest.approx(1)
-    full = {r["doc_id"]: r["score"] for r in lm.scores(df, F.lit(True)).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 8)
-    part = {r["doc_id"]: r["base_score"] for r in lm.scores(df, F.lit(True)).collect()}
-    assert all(math.isfinite(x) for x in full.values()) and sum(full.values()) > sum(part.values()) - 20
-
-
-@pytest.mark.parametrize("hot, bits", [(500_000, 1 << 28), (50, 1 << 10)])
-def test_scores_count_the_sequences_of_all_words(spark, monkeypatch, hot, bits):
-    """More words than an automaton of 2,000 holds; the walk by its definition, over counts of everything."""
+@pytest.mark.parametrize("page, bucket", [(lm.PAGE, lm.BUCKET), (500, 700)])
+def test_scores_equal_the_definition(spark, monkeypatch, page, bucket):
+    """Rare and frequent pairs and triples, in one page or many; the walk by its definition, over counts of everything."""
     rng = random.Random(4)
     phrases = [[f"w{rng.randrange(4000)}" for _ in range(6)] for _ in range(900)]
     rows = [(i, " ".join(w for _ in range(12) for w in rng.choice(phrases))) for i in range(400)] + [(900, None), (901, "w1 never w2"), (None, "w3 w4"), (5, "w5")]
-    monkeypatch.setattr(lm, "HOT", hot)
-    monkeypatch.setattr(lm, "FILTER", bits)
+    rows += [(2**60 + 1, "w1 w2 w1 w2 " * 300)]
+    monkeypatch.setattr(lm, "PAGE", page)
+    monkeypatch.setattr(lm, "BUCKET", bucket)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     texts = [["<", *WORD.findall(low(t)), ">"] for _, t in rows]
@@ -362,7 +341,7 @@ def test_scores_count_the_sequences_of_all_words(spark, monkeypatch, hot, bits):
             three.update(zip(t, t[1:], t[2:]))
     starts = sum(d is None or d % 10 != 0 for d, _ in rows)
     mass = sum(one.values()) + 0.1 * (len(one) + 1)
-    kept = {2: {g: c for g, c in two.items() if c >= 3}, 3: {g: c for g, c in three.items() if c >= 3}}
+    kept = {2: {g: c for g, c in two.items() if c >= lm.LEAST}, 3: {g: c for g, c in three.items() if c >= lm.LEAST}}
     after = collections.defaultdict(list)
     for g in [*kept[2], *kept[3]]:
         after[g[:-1]].append(g[-1])
@@ -380,7 +359,9 @@ def test_scores_count_the_sequences_of_all_words(spark, monkeypatch, hot, bits):
 
     want = [sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))) for t in texts]
     got = lm.scores(df, F.coalesce(F.col("doc_id") % 10 != 0, F.lit(True))).collect()
-    assert len(one) > lm.CORE and len(kept[3]) > 1000
+    assert len(kept[3]) > 1000
+    for h in [(), ("<",), ("<", "w5"), *list(kept[2])[:20], *list(two)[-5:]]:  # all next tokens and the unseen word
+        assert sum(p(h, w) for w in one) + p(h, "unseen") == pytest.approx(1)
     assert sorted((str(r["doc_id"]), f"{r['score']:.5f}") for r in got) == sorted((str(d), f"{w:.5f}") for (d, _), w in zip(rows, want))
 
 

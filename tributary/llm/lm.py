@@ -8,58 +8,64 @@ P(w | h) = (c(hw) - D) / c(h) for kept sequences and b(h) P(w | shorter h) for
 all others, where b(h) spreads the mass that the kept sequences of h leave over
 the words that have none.  All probabilities of a context add up to 1.
 
-The automaton has a state for each context.  An arc reads a word, adds its
-log-probability and leads to the longest context that the words read so far
-end in; a failure arc adds log b(h), reads nothing and leads to the context
-that is one word shorter.  As a sequence of three is kept only where both of
-its pairs are, the sum over a walk is that of one term for each word, pair and
-triple of the text: a kept sequence's term takes back what the failure arcs
-and the shorter arc would have added.  Terms add up in any order, so that
-texts and terms meet by joins.
-
-All that grows with the corpus stays distributed: words, pairs and triples are
-counted in all training texts, summed in each task before they are shuffled,
-and so are the terms.  Sequences are told apart by 64-bit hashes of their words
-and pairs.  Two things of bounded size are broadcast, neither of which changes
-a result: filters of one hash (a sequence is only counted where its parts may
-be kept, a term only looked up where there may be one; FILTER bits at most,
-larger corpora are filtered less), and the HOT most frequent terms, which
-then need no join.  The FREQUENT most frequent words (of at most LONGEST bytes)
-are broadcast too; any other word of a text meets its count in a join.
-
-``train`` collects a bounded automaton (KEPT sequences of the CORE first words)
-to look at on the driver; ``scores`` doesn't use it.
+The automaton has a state for the empty context, each word and each kept pair.
+An arc reads a word, adds its log-probability and leads to the longest context
+that the words read so far end in; a failure arc adds log b(h), reads nothing
+and leads to the context that is one word shorter.  One traversal of a text
+from left to right carries the state and adds up the arcs (``walk``).
+
+No part of the model has a fixed size, and none is collected or broadcast.
+Texts are cut into pages of about PAGE tokens, each with a list of its own
+words.  A page counts what it holds, asks the whole corpus for the totals, and
+so gets just the part of the automaton that its own texts meet, in four rounds:
+
+1. words: their counts;
+2. pairs of words that are kept: their counts;
+3. triples of which both pairs are kept: their counts; and for each word what
+   its kept pairs add up to, which gives the weight of its failure arc;
+4. for each kept pair what its kept triples add up to.
+
+In a round a page sends, for each of its distinct keys (64-bit hashes), its
+own count, to the bucket of that range of keys; the bucket adds up and answers
+each page in the order that it asked in.  Of the pages that hold a sequence
+one is told that it owns it and reports it to its context once.  All sums are
+of integers, so that scores don't depend on an order.  Pages and answers are
+written tables; a page and a bucket are of bounded size, a frequent key is one
+entry a page, and the number of pages and buckets grows with the corpus.
 
 Defined cases: a null text is the empty text: its one token is the end; with
-no training text all scores are those of an empty model (0); repeated rows
-are scored alike; an empty table gives no rows; other columns of the input are
-left out.
+no training text all scores are those of an empty model (0); a null or repeated
+doc_id is a row of its own; repeated rows are scored alike; a very long text is
+one page; an empty table gives no rows; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-from collections.abc import Iterator
-from math import log10
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.shingles import mix, word_hashes
 from tributary.plans.scratch import Scratch
 
 ADDED, DISCOUNT = 0.1, 0.75
-FREQUENT, LONGEST, KEPT = 200_000, 64, 100_000
-#: Words of the automaton to look at that take part in sequences of two and of three, the marks included.
-CORE, CORE3 = 2_000, 300
 #: Sequences seen less often aren't kept.
-LEAST = 3
-#: Distinct words, and sequence keys, that a task holds before it passes them on.
-HELD_WORDS, HELD_KEYS = 300_000, 2_000_000
-#: Terms that are broadcast, and bits of a filter at most.
-HOT, FILTER = 500_000, 1 << 28
+LEAST = 2
+#: Tokens of a page, and tokens of the corpus for each bucket of keys.
+PAGE, BUCKET = 1 << 20, 1 << 21
+#: The end is the first word of every page.
+END = 0
+#: No word holds a space.
+END_HASH, BEGIN_HASH = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
+PAGES = "page bigint, tokens bigint, doc_ids array<string>, fit binary, sizes binary, hashes binary, ids binary"
+ASKED = "bucket int, page bigint, kind string, keys binary, vals binary"
+ANSWERED = "page bigint, kind string, bucket int, vals binary, tokens bigint, words bigint"
+SCORED = "doc_id string, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,373 +73,307 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter = Counter()
-    texts = 0
-
-    def out():
-        return pd.DataFrame({"word": list(held.keys()), "c": np.fromiter(held.values(), np.int64, len(held))})
-
-    for f in frames:
-        for t in f["text"]:
-            held.update(tokens(t))
-            if len(held) >= HELD_WORDS:
-                yield out()
-                held.clear()
-        texts += len(f)
-    if held:
-        yield out()
-    if texts:
-        yield pd.DataFrame({"word": [None], "c": [texts]})
-
-
-class Model:
-    """Vocabulary and automaton.  Ids: core words, end (CORE - 2), beginning (CORE - 1), other frequent words."""
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, texts: int):
-        self.end, self.begin = CORE - 2, CORE - 1
-        self.id_of = {w: i if i < CORE - 2 else i + 2 for i, w in enumerate(words)}
-        self.total, self.distinct, self.texts = total, distinct, texts
-        c = np.zeros(max(CORE, len(words) + 2))
-        for w, n in zip(words, counts):
-            c[self.id_of[w]] = n
-        c[self.end] = texts
-        self.seen = c > 0
-        self.unigram = np.log10((c + ADDED) / self.mass) if total else np.zeros(len(c))
-        self.context = c.copy()
-        self.context[self.end], self.context[self.begin] = 0, texts
-        self.arcs: dict[int, tuple[float, int]] = {}
-
-    @property
-    def mass(self) -> float:
-        return self.total + ADDED * (self.distinct + 1)
-
-    def build(self, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int]) -> Model:
-        p1 = 10.0**self.unigram
-        pair_state = {ab: CORE + 1 + k for k, ab in enumerate(sorted({(a, b) for a, b, _ in triples if (a, b) in pairs}))}
-        n = CORE + 1 + len(pair_state)
-        fall = np.zeros(n, np.int64)  # where the failure arc leads
-        for (_, b), s in pair_state.items():
-            fall[s] = 1 + b
-        after = lambda a, b: pair_state.get((a, b), 1 + b)
-        left, rest = np.ones(n), np.ones(n)  # mass that kept sequences leave, and what the shorter context gives to the other words
-        p2 = {}
-        for w in range(CORE - 1):
-            self.arcs[w] = (float(self.unigram[w]), 1 + w)
-        for (a, b), k in pairs.items():
-            p2[a, b] = (k - DISCOUNT) / self.context[a]
-            left[1 + a] -= p2[a, b]
-            rest[1 + a] -= p1[b]
-            self.arcs[(1 + a) * CORE + b] = (log10(p2[a, b]), after(a, b))
-        least = ADDED / self.mass  # the unseen words' share is never kept
-        back = left[: CORE + 1] / np.maximum(rest[: CORE + 1], least)
-        for (a, b, w), k in triples.items():
-            s = pair_state.get((a, b))
-            if s is not None:
-                p = (k - DISCOUNT) / pairs[a, b]
-                left[s] -= p
-                rest[s] -= p2[b, w] if (b, w) in p2 else back[1 + b] * p1[w]
-                self.arcs[s * CORE + w] = (log10(p), after(b, w))
-        left /= np.maximum(rest, 1e-12)
-        weight = np.log10(left)
-        whole = weight.copy()  # of all failure arcs down to the root
-        for s in range(CORE + 1, n):
-            whole[s] += weight[fall[s]]
-        whole[0] = weight[0] = 0.0
-        self.weight, self.fall, self.whole = weight.tolist(), fall.tolist(), whole.tolist()
-        return self
-
-    def walk(self, ids: list[int]) -> float:
-        """log10 P of the ids, -1 being words outside the vocabulary, whose unigrams are left out."""
-        arcs, weight, fall, unigram, core = self.arcs, self.weight, self.fall, self.floats, CORE
-        state, sum_ = 1 + self.begin, 0.0
-        for i in ids:
-            if 0 <= i < core:
-                arc = arcs.get(state * core + i)
-                while arc is None:
-                    sum_ += weight[state]
-                    state = fall[state]
-                    arc = arcs.get(state * core + i)
-                sum_ += arc[0]
-                state = arc[1]
-            else:
-                sum_ += self.whole[state]
-                if i >= 0:
-                    sum_ += unigram[i]
-                state = 0
-        return sum_
-
-    @property
-    def floats(self) -> list[float]:
-        if "_floats" not in self.__dict__:
-            self._floats = self.unigram.tolist()
-        return self._floats
-
-
-def _sequences(model) -> callable:
-    """Counts of sequences whose words are all among the first, by task: n (2 or 3), key, c."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        held = {2: [], 3: []}
-
-        def out(n):
-            key, c = np.unique(np.concatenate(held[n]), return_counts=True)
-            held[n] = []
-            return pd.DataFrame({"n": np.int32(n), "key": key, "c": c.astype(np.int64)})
-
-        for f in frames:
-            ids: list[int] = []
-            for t in f["text"]:
-                ids.append(m.begin)
-                ids.extend([m.id_of.get(w, -1) for w in tokens(t)])
-                ids.append(m.end)
-            x = np.array(ids, np.int64)
-            x[x >= CORE] = -1
-            y = np.where(x >= CORE - 2, x - CORE + CORE3, np.where(x < CORE3 - 2, x, -1))
-            two = (x[:-1] >= 0) & (x[1:] >= 0) & (x[:-1] != m.end)
-            held[2].append(x[:-1][two] * CORE + x[1:][two])
-            three = (y[:-2] >= 0) & (y[1:-1] >= 0) & (y[2:] >= 0) & (x[:-2] != m.end) & (x[1:-1] != m.end)
-            held[3].append((y[:-2][three] * CORE3 + y[1:-1][three]) * CORE3 + y[2:][three])
-            for n in (2, 3):
-                if sum(map(len, held[n])) > HELD_KEYS:
-                    yield out(n)
-        for n in (2, 3):
-            if sum(map(len, held[n])):
-                yield out(n)
-
-    return run
-
-
-def vocabulary(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, Model]:
-    """The training texts, the table of all counts (word; null for the end) and the frequent words."""
-    fit = docs.filter(training).select("text")
-    counts = scratch.save(fit.mapInPandas(_counts, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    ends = counts.filter(F.col("word").isNull()).collect()
-    return fit, counts, Model([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, ends[0]["c"] if ends else 0)
+def pack(x: np.ndarray) -> bytes:
+    """Integers as bytes of equal weight side by side, compressed."""
+    planes = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T)
+    return x.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if x.size else b""
 
 
-def train(docs: DataFrame, training: Column, scratch: Scratch) -> tuple[DataFrame, Model]:
-    """The table of all counts (word; null for the end) and the bounded automaton to look at."""
-    fit, counts, model = vocabulary(docs, training, scratch)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    summed = fit.mapInPandas(_sequences(held), "n int, key bigint, c bigint").groupBy("n", "key").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST)
-    kept = {n: [(r["key"], r["c"]) for r in summed.filter(F.col("n") == n).orderBy(F.desc("c"), "key").limit(KEPT).collect()] for n in (2, 3)}
-    wide = lambda i: i if i < CORE3 - 2 else i - CORE3 + CORE
-    pairs = {(k // CORE, k % CORE): c for k, c in kept[2]}
-    triples = {(wide(k // CORE3 // CORE3), wide(k // CORE3 % CORE3), wide(k % CORE3)): c for k, c in kept[3]}
-    return counts, model.build(pairs, triples)
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    size, n = np.dtype(kind).itemsize, int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(memoryview(blob)[8:], n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.md5(word).digest()[:8], "big", signed=True)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a) + b)
 
 
-#: No word holds a space.
-BEGIN, END = _hash(b" begin"), _hash(b" end")
+class _Local(dict):
+    """Numbers for the words of a page, in order of their first occurrence."""
 
-
-class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = _hash(word)
-        return h
-
+        self[word] = n = len(self) + 1
+        return n
 
-def _hash_column(word: Column) -> Column:
-    """``_hash`` of a word, END of null."""
-    half = lambda i: F.conv(F.substring(F.md5(word), i, 8), 16, 10).cast("bigint")
-    return F.coalesce(F.shiftleft(half(1), 32).bitwiseOR(half(9)), F.lit(END))
 
+def _paged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of hashes."""
-    z = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z ^ (z >> np.uint64(29))).view(np.int64)
-
-
-class Filter:
-    """A bit for each slot that a row of (x, y) falls into; y is 0 for single hashes."""
-
-    def __init__(self, kept: DataFrame, rows: int):
-        bits = 1 << 10
-        while bits < min(FILTER, 16 * rows):
-            bits *= 2
-        self.mask = bits - 1
-        slot = F.expr(f"(x ^ shiftrightunsigned(y, 17)) & {self.mask}L")
-        word = kept.select(slot.alias("s")).select(F.expr("shiftright(s, 6)").alias("at"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("bit"))
-        got = word.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.bits = np.zeros(bits // 64, np.int64)
-        self.bits[got["at"].to_numpy()] = got["bits"].to_numpy()
-
-    def may_hold(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        slot = (x ^ (y.view(np.uint64) >> np.uint64(17)).view(np.int64)) & np.int64(self.mask)
-        return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    page = TaskContext.get().partitionId() << 32
+    local, docs, fit, sizes, ids, held = _Local(), [], [], [], [], 0
 
+    def out():
+        hashes = np.concatenate([[END_HASH], word_hashes(b" ".join(local))])
+        return pd.DataFrame({
+            "page": [page], "tokens": [held], "doc_ids": [list(docs)], "fit": [np.array(fit, np.uint8).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()],
+            "hashes": [pack(hashes)], "ids": [pack(np.concatenate(ids))]})
 
-def _hashes(texts, known: _Hashes) -> np.ndarray:
-    """The hashes of the texts' tokens, each text between BEGIN and END."""
-    if len(known) > HELD_WORDS:
-        known.clear()
-    ids: list[int] = []
-    for t in texts:
-        ids.append(BEGIN)
-        ids.extend(map(known.__getitem__, tokens(t)))
-        ids.append(END)
-    return np.array(ids, np.int64)
-
+    end = np.array([END], np.uint32)
+    for f in frames:
+        for d, t, own in zip(f["doc_id"], f["text"], f["fit"]):
+            words = tokens(t)
+            docs.append(d)
+            fit.append(bool(own))
+            sizes.append(len(words) + 1)
+            ids += [np.fromiter(map(local.__getitem__, words), np.uint32, len(words)), end]
+            held += len(words) + 1
+            if held >= PAGE:
+                yield out()
+                page += 1
+                local, docs, fit, sizes, ids, held = _Local(), [], [], [], [], 0
+    if docs:
+        yield out()
 
-def _counted(n: int, parts) -> callable:
-    """x, y, c of the sequences of n tokens (2: hashes of words, 3: of pairs) both of whose parts may be kept, by task."""
 
+def _sums(at: np.ndarray, n: int, *values: np.ndarray | None) -> np.ndarray:
+    """For each of n places the sums of the values (None: their number) there; exact up to 2^53."""
+    return np.stack([np.bincount(at, v, n).astype(np.uint64) for v in values])
+
+
+class Page:
+    """The tokens of a page, and of the automaton what the answers so far tell of it."""
+
+    def __init__(self, row, answers: pd.DataFrame | None = None, mass: float = 0.0):
+        self.page, self.docs, self.mass = row.page, row.doc_ids, mass
+        fit, self.sizes = np.frombuffer(row.fit, np.uint8), np.frombuffer(row.sizes, np.int64)
+        self.hashes, self.word = unpack(row.hashes, np.uint64), unpack(row.ids, np.uint32).astype(np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.fit = np.repeat(fit, self.sizes) > 0
+        self.n = len(self.hashes)
+        self.got: dict[str, np.ndarray] = {}
+        if answers is not None:
+            for kind, g in answers.sort_values("bucket").groupby("kind"):
+                width = WIDTH[kind]
+                self.got[kind] = np.concatenate([unpack(v, np.uint64).reshape(width, -1) for v in g["vals"]], axis=1)
+
+    def answer(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        """The answers of a round in the order of ``keys``, which is that of the question."""
+        out = np.zeros((WIDTH[kind], len(keys)), np.uint64)
+        if len(keys):
+            out[:, np.argsort(keys, kind="stable")] = self.got[kind]
+        return out.astype(np.int64)
+
+    def words(self) -> None:
+        """count: of each word, and at last of the beginning as a context."""
+        self.count = self.answer("w", self.hashes)[0]
+        self.count = np.append(self.count, self.count[END])
+
+    def asked_words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashes, _sums(self.word[self.fit], self.n, None)
+
+    def candidates(self) -> None:
+        """Distinct pairs whose words are seen LEAST times; pair_at: the one that ends at each token, or -1."""
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.edges[:-1]] = self.n  # the beginning
+        good = np.flatnonzero((self.count[before] >= LEAST) & (self.count[self.word] >= LEAST))
+        found, which = np.unique(before[good] * (self.n + 1) + self.word[good], return_inverse=True)
+        self.pair_at = np.full(len(self.word), -1)
+        self.pair_at[good] = which
+        self.first, self.second = found // (self.n + 1), found % (self.n + 1)
+        self.key = joined(np.append(self.hashes, BEGIN_HASH)[self.first], self.hashes[self.second])
+
+    def asked_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.key, _sums(self.pair_at[self.fit & (self.pair_at >= 0)], len(self.key), None)
+
+    def pairs(self) -> None:
+        """Only the kept pairs, their counts and which of them this page owns."""
+        got = self.answer("p", self.key)[0]
+        kept = got > 0
+        number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)
+        self.pair_at = number[self.pair_at]
+        self.first, self.second, self.key = self.first[kept], self.second[kept], self.key[kept]
+        self.pair, self.own_pair = got[kept] >> 1, (got[kept] & 1) > 0
+
+    def triple_candidates(self) -> None:
+        n = max(1, len(self.key))
+        both = np.zeros(len(self.word), bool)
+        both[1:] = (self.pair_at[1:] >= 0) & (self.pair_at[:-1] >= 0)
+        both[self.edges[:-1]] = False
+        at = np.flatnonzero(both)
+        found, which = np.unique(self.pair_at[at - 1] * n + self.pair_at[at], return_inverse=True)
+        self.triple_at = np.full(len(self.word), -1)
+        self.triple_at[at] = which
+        self.left, self.right = found // n, found % n
+        self.triple_key = joined(self.key[self.left], self.key[self.right])
+
+    def asked_triples(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.triple_key, _sums(self.triple_at[self.fit & (self.triple_at >= 0)], len(self.triple_key), None)
+
+    def triples(self) -> None:
+        got = self.answer("t", self.triple_key)[0]
+        kept = got > 0
+        self.triple_at = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[self.triple_at]
+        self.left, self.right = self.left[kept], self.right[kept]
+        self.triple, self.own_triple = got[kept] >> 1, (got[kept] & 1) > 0
+
+    def word_contexts(self) -> np.ndarray:
+        return np.flatnonzero(self.count >= LEAST)
+
+    def asked_word_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word's own kept pairs: their counts, their number, and the counts of their second words."""
+        own, at = self.own_pair, self.word_contexts()
+        sums = _sums(self.first[own], self.n + 1, self.pair[own], None, self.count[self.second[own]])
+        return np.append(self.hashes, BEGIN_HASH)[at], sums[:, at]
+
+    def pair_contexts(self) -> np.ndarray:
+        return np.flatnonzero(self.second != END)
+
+    def asked_pair_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        own, at = self.own_triple, self.pair_contexts()
+        sums = _sums(self.left[own], len(self.key), self.triple[own], None, self.pair[self.right[own]])
+        return self.key[at], sums[:, at]
+
+    def automaton(self) -> None:
+        """Arcs by level, and the weights of the failure arcs."""
+        one = (self.count + ADDED) / self.mass
+        self.arc1 = np.log10(one)
+        self.arc2 = np.log10((self.pair - DISCOUNT) / self.count[self.first])
+        self.arc3 = np.log10((self.triple - DISCOUNT) / self.pair[self.left])
+        self.fail1, self.fail2 = np.zeros(self.n + 1), np.zeros(len(self.key))
+        at = self.word_contexts()
+        c, (sum_, kinds, after) = self.count[at], self.answer("b", np.append(self.hashes, BEGIN_HASH)[at])
+        self.fail1[at] = np.log10((c - sum_ + DISCOUNT * kinds) / c / ((self.mass - after - ADDED * kinds) / self.mass))
+        at = self.pair_contexts()
+        c, c1, (sum_, kinds, after) = self.pair[at], self.count[self.second[at]], self.answer("c", self.key[at])
+        self.fail2[at] = np.log10((c - sum_ + DISCOUNT * kinds) / c / ((c1 - after + DISCOUNT * kinds) / c1))
+
+    def scored(self) -> pd.DataFrame:
+        base = self.arc1[self.word]
+        nan = lambda arcs, at: np.where(at >= 0, np.append(arcs, np.nan)[at], np.nan)
+        two, three = nan(self.arc2, self.pair_at), nan(self.arc3, self.triple_at)
+        weight1, weight2 = self.fail1[self.word], np.where(self.pair_at >= 0, np.append(self.fail2, 0.0)[self.pair_at], 0.0)
+        begin = float(self.fail1[self.n])
+        found = [walk(begin, *(x[a:b].tolist() for x in (base, two, three, weight1, weight2))) for a, b in pairwise(self.edges)]
+        starts = self.edges[:-1]
+        return pd.DataFrame({
+            "doc_id": pd.Series(list(self.docs), dtype=object), "n_tokens": self.sizes,
+            "n_known": np.add.reduceat((self.count[self.word] > 0).astype(np.int64), starts),
+            "base_score": np.add.reduceat(base, starts), "score": np.array(found, np.float64)})
+
+
+def walk(begin: float, one: list[float], two: list[float], three: list[float], weight1: list[float], weight2: list[float]) -> float:
+    """The sum over a text's path.  By token: its arcs from the root, from a word and from a pair (nan: there is none),
+    and the weights of the failure arcs that leave the states of one and of two words that the token ends."""
+    total, depth, fail1, fail2 = 0.0, 1, begin, 0.0
+    for p1, p2, p3, w1, w2 in zip(one, two, three, weight1, weight2):
+        if depth == 2 and p3 != p3:
+            total += fail2
+            depth = 1
+        if depth == 2:
+            total += p3
+        elif p2 == p2:
+            total += p2
+            depth = 2
+        else:
+            total += fail1 + p1  # down to the root
+            depth = 1
+        fail1, fail2 = w1, w2
+    return total
+
+
+#: Numbers of an answer: totals of words, kept pairs and triples; sums of the kept continuations of words and pairs.
+WIDTH = {"w": 1, "p": 1, "t": 1, "b": 3, "c": 3}
+
+
+def _asked(page: Page, kind: str, keys: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple]:
+    """The page's keys in order, a row for each range of them."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[:, order]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
+    return [(int(bucket[a]), page.page, kind, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(values[:, a:b])) for a, b in pairwise(cuts) if b > a]
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _first(buckets: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, known = parts.value, _Hashes()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out():
-            x, y = (np.concatenate(v) for v in zip(*held))
-            held.clear()
-            _, at, c = np.unique(_joined(x, y), return_index=True, return_counts=True)
-            return pd.DataFrame({"x": x[at], "y": y[at], "c": c.astype(np.int64)})
-
         for f in frames:
-            x = _hashes(f["text"], known)
-            go = x[:-1] != END
-            if n == 2:
-                may = kept.may_hold(x, np.zeros_like(x)) | (x == BEGIN)
-                go &= may[:-1] & may[1:]
-                held.append((x[:-1][go], x[1:][go]))
-            else:
-                go &= kept.may_hold(x[:-1], x[1:])
-                k, both = _joined(x[:-1], x[1:]), go[:-1] & go[1:]
-                held.append((k[:-1][both], k[1:][both]))
-            if sum(len(v) for v, _ in held) > HELD_KEYS:
-                yield out()
-        if held:
-            yield out()
+            for row in f.itertuples():
+                p = Page(row)
+                yield _frame(_asked(p, "w", *p.asked_words(), buckets), ASKED)
 
     return run
 
 
-def terms(fit: DataFrame, counts: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """x, y, c and v, the term of the walk, of all contexts of one word (y is 0), kept pairs and kept triples."""
-    spark = fit.sparkSession
-
-    def kept(n: int, parts: DataFrame) -> DataFrame:
-        held = spark.sparkContext.broadcast(Filter(parts, parts.count()))
-        found = fit.mapInPandas(_counted(n, held), "x bigint, y bigint, c bigint").groupBy("x", "y").agg(F.sum("c").alias("c"))
-        return scratch.save(found.filter(F.col("c") >= LEAST), f"kept{n}")
-
-    joined = F.pandas_udf(lambda x, y: pd.Series(_joined(x.to_numpy(), y.to_numpy())), "bigint")
-    words = counts.select(_hash_column(F.col("word")).alias("h"), "c")
-    two = kept(2, words.filter(F.col("c") >= LEAST).select(F.col("h").alias("x"), F.lit(0).cast("bigint").alias("y")))
-    three = kept(3, two)
-    start = spark.createDataFrame([(BEGIN, model.texts)], "h bigint, c bigint")
-    before = words.unionByName(start).select(F.col("h").alias("x"), F.col("c").alias("cx"))
-    then = words.select(F.col("h").alias("y"), ((F.col("c") + ADDED) / F.lit(float(model.mass))).alias("p1"))
-    pairs = two.join(before, "x").join(then, "y").withColumn("p2", (F.col("c") - DISCOUNT) / F.col("cx")).withColumn("k", joined("x", "y"))
-    pairs = scratch.save(pairs.select("x", "y", "k", "c", "cx", "p1", "p2"), "pairs")
-    back = lambda p, q, least: F.log10((1 - F.sum(p)) / F.greatest(1 - F.sum(q), F.lit(float(least))))
-    one_back = scratch.save(pairs.groupBy("x").agg(F.first("cx").alias("c"), back("p2", "p1", ADDED / model.mass).alias("b1")), "back1")
-    triples = three.join(pairs.select(F.col("k").alias("x"), F.col("c").alias("cx")), "x").join(
-        pairs.select(F.col("k").alias("y"), "p2"), "y").withColumn("p3", (F.col("c") - DISCOUNT) / F.col("cx"))
-    triples = scratch.save(triples.select("x", "y", "c", "p2", "p3"), "triples")
-    two_back = scratch.save(triples.groupBy("x").agg(back("p3", "p2", 1e-12).alias("b2")), "back2")
-    one = one_back.select("x", F.lit(0).cast("bigint").alias("y"), "c", F.col("b1").alias("v"))
-    more = pairs.join(one_back.select("x", "b1"), "x").join(two_back.withColumnRenamed("x", "k"), "k", "left").select(
-        "x", "y", "c", (F.log10("p2") - F.log10("p1") - F.col("b1") + F.coalesce("b2", F.lit(0.0))).alias("v"))
-    most = triples.join(two_back, "x").select("x", "y", "c", (F.log10("p3") - F.log10("p2") - F.col("b2")).alias("v"))
-    return scratch.save(one.unionByName(more).unionByName(most), "terms")
-
-
-class Terms:
-    """What a task needs of the table of terms: its filter and its most frequent rows, by their hash."""
-
-    def __init__(self, table: DataFrame):
-        self.filter = Filter(table, table.count())
-        top = table.orderBy(F.desc("c"), "x", "y").limit(HOT).select("x", "y", "v").toArrow()
-        x, y, v = (top[c].to_numpy() for c in ("x", "y", "v"))
-        k = _joined(x, y)
-        order = np.argsort(k)
-        self.k, self.x, self.y, self.v = k[order], x[order], y[order], v[order]
-
-    def look_up(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms that are here, 0 for others, and whether the table of all has to be asked."""
-        if not len(self.k):
-            return np.zeros(len(x)), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(self.k, _joined(x, y)), len(self.k) - 1)
-        here = (self.x[at] == x) & (self.y[at] == y)
-        return np.where(here, self.v[at], 0.0), ~here
-
-
-def _parts(model, table) -> callable:
-    kind = ["uid", "doc_id", "n_tokens", "known", "base", "walked", "words", "times", "xs", "ys"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def _step(n: int, buckets: int, mass: float = 0.0) -> Callable:
+    """What a page asks in round n, or its scores in round 5, given all answers before."""
 
-        m, held, hashes = model.value, table.value, _Hashes()
-        uid = TaskContext.get().partitionId() << 40
-        find = m.id_of.get
-        for f in frames:
-            x = _hashes(f["text"], hashes)
-            starts = np.flatnonzero(x == BEGIN)
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
-            go = x[:-1] != END
-            k, both = _joined(x[:-1], x[1:]), go[:-1] & go[1:]
-            gx = np.concatenate([x[:-1][go], x[:-1][go], k[:-1][both]])
-            gy = np.concatenate([np.zeros(int(go.sum()), np.int64), x[1:][go], k[1:][both]])
-            who = np.concatenate([owner[:-1][go], owner[:-1][go], owner[:-2][both]])
-            may = held.filter.may_hold(gx, gy)
-            gx, gy, who = gx[may], gy[may], who[may]
-            v, ask = held.look_up(gx, gy)
-            walked = np.bincount(who, v, len(starts))
-            gx, gy, who = gx[ask], gy[ask], who[ask]
-            order = np.argsort(who, kind="stable")
-            cuts = np.searchsorted(who[order], np.arange(1, len(starts)))
-            xs, ys = np.split(gx[order], cuts), np.split(gy[order], cuts)
-            rows = []
-            for i, (d, t) in enumerate(zip(f["doc_id"], f["text"])):
-                words = tokens(t)
-                ids = [find(w, -1) for w in words]
-                rest = Counter([w for w, j in zip(words, ids) if j < 0])
-                ids.append(m.end)
-                own = np.array(ids, np.int64)
-                own = own[own >= 0]
-                base = float(m.unigram[own].sum())
-                rows.append((uid, d, len(ids), int(m.seen[own].sum()), base, base + walked[i], list(rest.keys()), list(rest.values()), xs[i], ys[i]))
-                uid += 1
-            yield pd.DataFrame(rows, columns=kind)
+    def run(pages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pages.itertuples():
+            p = Page(row, answers, mass)
+            p.words()
+            p.candidates()
+            if n == 2:
+                out += _asked(p, "p", *p.asked_pairs(), buckets)
+                continue
+            p.pairs()
+            p.triple_candidates()
+            if n == 3:
+                out += _asked(p, "b", *p.asked_word_contexts(), buckets) + _asked(p, "t", *p.asked_triples(), buckets)
+                continue
+            p.triples()
+            if n == 4:
+                out += _asked(p, "c", *p.asked_pair_contexts(), buckets)
+                continue
+            p.automaton()
+            out.append(p.scored())
+        return pd.concat(out) if n == 5 else _frame(out, ASKED)
 
     return run
 
 
+def _answered(f: pd.DataFrame) -> pd.DataFrame:
+    """Sums over all pages of a range of keys, to each page that asked."""
+    rows = []
+    for kind, g in f.sort_values("page").groupby("kind"):
+        keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in g["keys"]]
+        values = np.concatenate([unpack(v, np.uint64).reshape(WIDTH[kind], -1) for v in g["vals"]], axis=1)
+        _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        totals = _sums(which, len(first), *values)
+        seen = (int(totals[0].sum()), int((totals[0] > 0).sum())) if kind == "w" else (0, 0)
+        if kind in "pt":
+            totals = np.where(totals >= LEAST, 2 * totals, 0).astype(np.uint64)
+        answer = totals[:, which]
+        if kind in "pt":
+            answer[0, first] += answer[0, first] > 0  # the owner's
+        at = 0
+        for page, k in zip(g["page"], keys):
+            rows.append((page, kind, g["bucket"].iloc[0], pack(answer[:, at : at + len(k)]), *seen))
+            at, seen = at + len(k), (0, 0)
+    return _frame(rows, ANSWERED)
+
+
 def scores(docs: DataFrame, training: Column) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    fit, counts, model = vocabulary(docs, training, scratch)
-    table = terms(fit, counts, model, scratch)
-    held, arcs = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Terms(table))
-    kind = (f"uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, known bigint, base double, walked double, "
-            "words array<binary>, times array<bigint>, xs array<bigint>, ys array<bigint>")
-    parts = scratch.save(docs.select("doc_id", "text").mapInPandas(_parts(held, arcs), kind), "parts")
-    rare = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("r")).select("uid", F.col("r.words").alias("word"), F.col("r.times").alias("times"))
-    mass = model.mass if model.total else ADDED
-    found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = found.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + ADDED) / F.lit(mass))).alias("rare_base"),
-    )
-    asked = parts.select("uid", F.explode(F.arrays_zip("xs", "ys")).alias("r")).select("uid", F.col("r.xs").alias("x"), F.col("r.ys").alias("y"))
-    more = asked.join(table.select("x", "y", "v"), ["x", "y"]).groupBy("uid").agg(F.sum("v").alias("met"))
-    zero = F.lit(0.0)
-    return parts.drop("words", "times", "xs", "ys").join(sums, "uid", "left").join(more, "uid", "left").select(
-        "doc_id", "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("walked") + F.coalesce("rare_base", zero) + F.coalesce("met", zero)).alias("score"),
-    )
+    scratch = Scratch(docs.sparkSession, "lm")
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("fit"))
+    pages = scratch.save(texts.mapInPandas(_paged, PAGES), "pages")
+    buckets = max(16, -(-pages.select(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // BUCKET))
+
+    def answers(asked: DataFrame, name: str) -> DataFrame:
+        return scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answered, ANSWERED), name)
+
+    def step(n: int, known: list[DataFrame], schema: str = ASKED, mass: float = 0.0) -> DataFrame:
+        told = known[0]
+        for k in known[1:]:
+            told = told.unionByName(k)
+        return pages.groupBy("page").cogroup(told.groupBy("page")).applyInPandas(_step(n, buckets, mass), schema)
+
+    known = [answers(pages.mapInPandas(_first(buckets), ASKED), "words")]
+    total, distinct = known[0].select(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    for n in (2, 3, 4):
+        known.append(answers(step(n, known), f"round{n}"))
+    found = step(5, known, SCORED, total + ADDED * (distinct + 1))
+    return found.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
