@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -217,10 +218,24 @@ def test_transfer_entropy_of_pairs_equals_dense_series(spark):
         assert r["value"] == pytest.approx(influence.te(series[r["src"]], series[r["dst"]], r["delay"]), abs=1e-9)
 
 
-def test_bootstrap_has_the_size_and_values_of_the_past(spark):
-    log = spark.createDataFrame([(i, f"u{i % 3}", f"c{i % 4}", "view") for i in range(50)], "seq long, user string, content string, event string").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq") * 60))
-    got = ref.sampled(log, "2024-01-01", "2024-12-31").collect()
-    assert len(got) == 50 and {r["user"] for r in got} <= {"u0", "u1", "u2"} and [r["ts"] for r in sorted(got, key=lambda r: r["seq"])] == sorted(r["ts"] for r in got)
+def test_bootstrap_fills_the_period(spark):
+    start = 1_700_000_000  # events a day apart; a day and a minute apart; over midnight
+    logs = {86_400: 14, 86_460: 14, 3_600: 24 * 14}
+    for gap, least in logs.items():
+        log = spark.createDataFrame([(i, f"u{i % 3}", f"c{i % 4}", "view" if i % 2 else "issue", "opened" if i % 4 else None) for i in range(50)],
+                                    "seq long, user string, content string, event string, action string").withColumn("ts", F.timestamp_seconds(start + F.col("seq") * gap))
+        assert [r["gap"] for r in ref.gaps(log).distinct().collect()] == [gap * 1_000_000] and ref.gaps(log).count() == 49
+        got = sorted(ref.sampled(log, "2024-03-01", "2024-03-15", attributes={"issue": ["action"]}).collect(), key=lambda r: r["seq"])
+        times = [r["ts"] for r in got]
+        assert least - 1 <= len(got) <= least and all((b - a).total_seconds() == gap for a, b in zip(times, times[1:]))
+        assert str(times[0] - timedelta(seconds=gap)) == "2024-03-01 00:00:00" and times[-1] < datetime(2024, 3, 15) <= times[-1] + timedelta(seconds=gap)
+        assert {r["user"] for r in got} <= {"u0", "u1", "u2"} and all(r["action"] is None for r in got if r["event"] == "view")
+    again = sorted(ref.sampled(log, "2024-03-01", "2024-03-15", attributes={"issue": ["action"]}).collect(), key=lambda r: r["seq"])
+    assert again == got and {r["event"] for r in got} == {"view", "issue"} and "opened" in {r["action"] for r in got}
+    log = log.filter("seq < 2 or seq > 40").withColumn("ts", F.timestamp_seconds(start + F.col("seq") / 4))
+    even = ref.sampled(log, "2024-03-01 00:00:00", "2024-03-01 00:01:00", proportional=False).collect()
+    assert all(r["ts"].microsecond == 0 for r in even) and len(even) > 50
+    assert ref.sampled(log.filter("seq = 1"), "2024-03-01", "2024-03-15").count() == 0 == ref.sampled(log.limit(0), "2024-03-01", "2024-03-15").count()
     assert ref.shifted(log, "2023-11-01", "2023-11-02", "2024-01-01", "2024-02-01").count() == 0
 
 
@@ -228,7 +243,7 @@ def test_github_extraction(spark, tmp_path):
     import json
 
     docs = [{"event": {"created_at": "2017-08-01T00:00:00Z", "type": t, "actor": {"login_h": "u"}, "repo": {"name_h": "r"}}, "payload": {"commits": [{"message_m": "see https://a.org/x"}], "issue": {"body_m": "https://b.org"}},
-             "socialsim_details": [{"extension": {"socialsim_keywords": ["k1", "k2"]}}]} for t in ("PushEvent", "IssuesEvent", "OtherEvent")]
+             "details": [{"extension": {"keywords": ["k1", "k2"]}}]} for t in ("PushEvent", "IssuesEvent", "OtherEvent")]
     (tmp_path / "g.json").write_text("\n".join(map(json.dumps, docs)))
     got = extract.github(spark.read.json(str(tmp_path / "g.json"))).collect()
     assert sorted((r["actionType"], r["informationID"], r["urlDomains"][0]) for r in got) == [
@@ -236,15 +251,15 @@ def test_github_extraction(spark, tmp_path):
 
 
 def test_reddit_extraction_hands_ids_down(spark):
-    c = "id_h string, author_h string, parent_id_h string, link_id_h string, created_utc long, body_m string, subreddit_id string, extension struct<socialsim_keywords: array<string>, socialsim_domain: string>"
+    c = "id_h string, author_h string, parent_id_h string, link_id_h string, created_utc long, body_m string, subreddit_id string, extension struct<keywords: array<string>, domain: string>"
     comments = spark.createDataFrame([("c1", "u1", "t3_p1", "t3_p1", 1500000001, "", "s", ([], "d")), ("c2", "u2", "t1_c1", "t3_p1", 1500000002, "", "s", (["y"], "d")), ("c3", "u3", "t1_no", "t3_p1", 1500000003, "", "s", (["y"], "d"))], c)
-    posts = spark.createDataFrame([("p1", "u0", 1500000000, "http://x.org", "s", (["k"], "d"))], "id_h string, author_h string, created_utc long, selftext_m string, subreddit_id string, extension struct<socialsim_keywords: array<string>, socialsim_domain: string>")
+    posts = spark.createDataFrame([("p1", "u0", 1500000000, "http://x.org", "s", (["k"], "d"))], "id_h string, author_h string, created_utc long, selftext_m string, subreddit_id string, extension struct<keywords: array<string>, domain: string>")
     got = sorted((r["nodeID"], r["informationID"]) for r in extract.reddit(comments, posts).collect())
     assert got == [("t1_c1", "k"), ("t1_c2", "k"), ("t1_c2", "y"), ("t3_p1", "k")]
 
 
 def test_telegram_extraction(spark):
-    kind = "uid_h string, norm struct<timestamp: string, author: string, body_m: string>, doc struct<to_id: struct<channel_id: long>, id: long, from_id_h: string, reply_to_msg_id: long, peer: struct<username: string>>, extension struct<socialsim_keywords: array<struct<keyword: string>>>"
+    kind = "uid_h string, norm struct<timestamp: string, author: string, body_m: string>, doc struct<to_id: struct<channel_id: long>, id: long, from_id_h: string, reply_to_msg_id: long, peer: struct<username: string>>, extension struct<keywords: array<struct<keyword: string>>>"
     rows = [("1", ("2017-08-01T00:00:00Z", "x", "https://a.org/"), ((7,), 1, "u1", None, ("ch",)), ([("k",)],)), ("2", ("2017-08-01T00:00:05Z", "x", ""), ((7,), 2, None, 1, ("ch",)), ([],))]
     got = sorted((r["nodeID"], r["nodeUserID"], r["parentID"], r["rootID"], r["informationID"]) for r in extract.telegram(spark.createDataFrame(rows, kind)).collect())
     assert got == [("7_1", "u1", "7_1", "7_1", "k"), ("7_2", "x", "7_1", "7_1", "k")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,15 +13,30 @@ from tributary.operators.cascade import ancestors
 from tributary.operators.reconstruct import reconstruct, reply_roots
 from tributary.plans.components import components
 from tributary.plans.scratch import Scratch
+from tributary.sources.writers import json_lines
 
 #: Event types that are extracted, and where each keeps its text in the payload.
 GITHUB_EVENTS = ["PullRequestEvent", "IssuesEvent", "CreateEvent", "DeleteEvent", "WatchEvent", "ForkEvent",
                  "PullRequestReviewCommentEvent", "CommitCommentEvent", "PushEvent", "IssueCommentEvent"]
 GITHUB_TEXT = {"PullRequestEvent": "pull_request.body_m", "IssuesEvent": "issue.body_m", "CreateEvent": "description_m", "PullRequestReviewCommentEvent": "comment.body_m",
                "ForkEvent": "forkee.description_m", "IssueCommentEvent": "comment.body_m", "CommitCommentEvent": "comment.body_m"}
+#: The platforms whose documents tell of an information type.
+PLATFORMS = {"Coins": ["telegram", "twitter"], "CVE": ["reddit", "twitter", "github"], "Malware": ["reddit", "twitter"], "URL": ["reddit", "twitter"]}
 OUTPUT = ["nodeID", "nodeUserID", "parentID", "rootID", "actionType", "nodeTime", "urlDomains", "informationIDs", "platform", "communityID"]
 
 
+@dataclass(frozen=True)
+class Names:
+    """Where documents keep what was added to them: information ids, their domain, and the list of such additions of an event."""
+
+    ids: str = "extension.keywords"
+    domain: str = "extension.domain"
+    details: str = "details"
+
+
+NAMES = Names()
+
+
 def field(df: DataFrame, path: str, kind: str = "string") -> Column:
     """A nested field, null of the type where the schema lacks it."""
     schema = df.schema
@@ -93,14 +110,14 @@ def unbroken(rows: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def telegram(docs: DataFrame, names: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+def telegram(docs: DataFrame, names: DataFrame | None = None, start: str | None = None, end: str | None = None, at: Names = NAMES) -> DataFrame:
     """Messages of channels: a reply's parent is in its channel; forwards' parents are overwritten by it, as in the data's contract."""
     docs = _between(docs, field(docs, "norm.timestamp"), start, end)
     channel = field(docs, "doc.to_id.channel_id").cast("string")
     node = F.concat_ws("_", channel, field(docs, "doc.id").cast("string"))
     reply = field(docs, "doc.reply_to_msg_id").cast("string")
     parent = F.when(reply.isNotNull(), F.concat_ws("_", channel, reply))
-    words = F.transform(field(docs, "extension.socialsim_keywords", "array<struct<keyword:string>>"), lambda k: k["keyword"])
+    words = F.transform(field(docs, at.ids, "array<struct<keyword:string>>"), lambda k: k["keyword"])
     rows = docs.dropDuplicates(["uid_h"]).select(
         node.alias("nodeID"), F.coalesce(field(docs, "doc.from_id_h"), field(docs, "norm.author")).alias("nodeUserID"), F.coalesce(parent, node).alias("parentID"),
         F.when(parent.isNull(), node).otherwise("?").alias("rootID"), F.lit("message").alias("actionType"), field(docs, "norm.timestamp").alias("nodeTime"),
@@ -110,12 +127,14 @@ def telegram(docs: DataFrame, names: DataFrame | None = None, start: str | None
     return per_information(propagate(rows)).filter("communityID is not null")
 
 
-def reddit(comments: DataFrame, posts: DataFrame, names: DataFrame | None = None, domains: list[str] | None = None) -> DataFrame:
+def reddit(comments: DataFrame, posts: DataFrame, names: DataFrame | None = None, domains: list[str] | None = None,
+           start: str | None = None, end: str | None = None, at: Names = NAMES) -> DataFrame:
     """Comments (of repeated ids the one with most information) and posts; ids of other domains than ``domains`` lose their information."""
+    comments, posts = (_between(df, field(df, "created_date"), start, end) for df in (comments, posts))
 
     def ids(df):
-        own = merged_ids(field(df, "extension.socialsim_keywords", "array<string>"))
-        return own if not domains else F.when(field(df, "extension.socialsim_domain").isin(domains), own).otherwise(F.array().cast("array<string>"))
+        own = merged_ids(field(df, at.ids, "array<string>"))
+        return own if not domains else F.when(field(df, at.domain).isin(domains), own).otherwise(F.array().cast("array<string>"))
 
     c = comments.withColumn("__ids", ids(comments)).withColumn("__rn", F.row_number().over(W.partitionBy("id_h").orderBy(F.size("__ids").desc(), "created_utc"))).filter("__rn = 1")
     one = c.select(F.concat(F.lit("t1_"), "id_h").alias("nodeID"), F.col("author_h").alias("nodeUserID"), F.col("parent_id_h").alias("parentID"), F.col("link_id_h").alias("rootID"),
@@ -146,7 +165,7 @@ def classify(df: DataFrame) -> Column:
     )
 
 
-def twitter_rows(df: DataFrame) -> DataFrame:
+def twitter_rows(df: DataFrame, at: Names = NAMES) -> DataFrame:
     """Type, parent, root and partial parent of each tweet: retweets and quotes know where their cascade starts, replies their parent."""
     kind = classify(df)
     rt, qt = field(df, "retweeted_status.id_str_h"), field(df, "quoted_status.id_str_h")
@@ -160,22 +179,38 @@ def twitter_rows(df: DataFrame) -> DataFrame:
         node.alias("nodeID"), field(df, "user.id_str_h").alias("nodeUserID"), F.when(kind == "reply", answered).when(kind == "tweet", node).otherwise("?").alias("parentID"), root.alias("rootID"),
         F.when(kind.startswith("retweet"), "retweet").when(kind.startswith("quote"), "quote").otherwise(kind).alias("actionType"), F.col("created_at").alias("nodeTime"), part.alias("partialParentID"),
         F.filter(F.transform(urls, lambda u: F.get(url_domains(u["expanded_url_h"]), F.lit(0))), lambda u: u.isNotNull()).alias("urlDomains"),
-        merged_ids(field(df, "extension.socialsim_keywords", "array<string>")).alias("informationIDs"), F.lit("twitter").alias("platform"))
+        merged_ids(field(df, at.ids, "array<string>")).alias("informationIDs"), F.lit("twitter").alias("platform"))
 
 
-def twitter(df: DataFrame, names: DataFrame | None = None, followers: DataFrame | None = None) -> DataFrame:
-    rows = reconstruct(renamed(twitter_rows(df), names), followers)
+def twitter(df: DataFrame, names: DataFrame | None = None, followers: DataFrame | None = None, start: str | None = None, end: str | None = None, at: Names = NAMES) -> DataFrame:
+    """Tweets, their cascades reconstructed; a range is over ``timestamp_ms``, milliseconds as text or number."""
+    ms = field(df, "timestamp_ms").cast("bigint")
+    for day, keep in ((start, lambda x: ms >= x), (end, lambda x: ms < x)):
+        if day:
+            df = df.filter(keep(F.unix_millis(F.lit(f"{day}T00:00:00Z").cast("timestamp"))))
+    rows = reconstruct(renamed(twitter_rows(df, at), names), followers)
     return per_information(propagate(rows).drop("partialParentID"))
 
 
-def github(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def github(events: DataFrame, names: DataFrame | None = None, start: str | None = None, end: str | None = None, at: Names = NAMES) -> DataFrame:
     """Events (nested under ``event`` or flat) of the extracted types, one row an information id, repeated rows once whatever their domains."""
-    at = "event." if "event" in events.columns else ""
-    kind = field(events, f"{at}type")
-    details = field(events, "socialsim_details", "array<struct<extension:struct<socialsim_keywords:array<string>>>>")
+    below = "event." if "event" in events.columns else ""
+    events = _between(events, field(events, f"{below}created_at"), start, end)
+    kind = field(events, f"{below}type")
+    path = at.ids.split(".")
+    shape = "array<string>"
+    for part in reversed(path):
+        shape = f"struct<{part}:{shape}>"
+    details = field(events, at.details, f"array<{shape}>")
+
+    def ids(m):
+        for part in path:
+            m = m[part]
+        return m
+
     rows = events.select(
-        field(events, f"{at}repo.name_h").alias("nodeID"), field(events, f"{at}actor.login_h").alias("nodeUserID"), kind.alias("actionType"), field(events, f"{at}created_at").alias("nodeTime"),
-        merged_ids(F.flatten(F.transform(details, lambda m: m["extension"]["socialsim_keywords"]))).alias("informationIDs"), url_domains(text_field(events, kind)).alias("urlDomains"), F.lit("github").alias("platform"))
+        field(events, f"{below}repo.name_h").alias("nodeID"), field(events, f"{below}actor.login_h").alias("nodeUserID"), kind.alias("actionType"), field(events, f"{below}created_at").alias("nodeTime"),
+        merged_ids(F.flatten(F.transform(details, ids))).alias("informationIDs"), url_domains(text_field(events, kind)).alias("urlDomains"), F.lit("github").alias("platform"))
     rows = per_information(renamed(rows.filter(F.col("actionType").isin(GITHUB_EVENTS)), names))
     return rows.dropDuplicates([c for c in rows.columns if c != "urlDomains"])
 
@@ -187,9 +222,23 @@ def _between(df: DataFrame, time: Column, start: str | None, end: str | None) ->
     return df.filter(time < f"{end}T00:00:00Z") if end else df
 
 
-def ground_truth(sources: dict[str, DataFrame], aliases: DataFrame | None = None) -> DataFrame:
-    """Extracted platforms in one table, ids mapped to their names."""
+def ground_truth(sources: dict[str, DataFrame], aliases: DataFrame | None = None, info_type: str | None = None, folder: str | None = None) -> DataFrame:
+    """Extracted platforms (name to rows) in one table; of an information type those of PLATFORMS, others are left out.
+
+    Ids are mapped to their names by ``aliases`` where the type is Coins or none is given, and repeated (node, id) go then.
+    With ``folder`` the rows are also written there as JSON lines.
+    """
+    if info_type is not None and info_type not in PLATFORMS:
+        raise ValueError(f"no platforms are known for {info_type}: one of {sorted(PLATFORMS)}")
     out = None
-    for rows in sources.values():
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out if aliases is None else keyword_map(out, aliases)
+    for name, rows in sources.items():
+        if info_type is None or name in PLATFORMS[info_type]:
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"none of {sorted(sources)} belongs to {info_type}")
+    if aliases is not None and info_type in (None, "Coins"):
+        out = keyword_map(out, aliases)
+        out = out.dropDuplicates([c for c in ("platform", "nodeID", "informationID") if c in out.columns]) if info_type else out
+    if folder:
+        json_lines(out, folder)
+    return out
