@@ -22,23 +22,46 @@ def present(log: DataFrame) -> DataFrame:
     return log.join(roots, "root", "left_semi")
 
 
-def depths(log: DataFrame, rounds: int = 64) -> DataFrame:
-    """``log`` with ``depth``, the steps to the root; -1 where the parents don't lead there."""
-    scratch = Scratch(log.sparkSession, "depths")
+def _climbed(log: DataFrame, sizes: bool, rounds: int = 64) -> DataFrame:
+    """(root, node, depth[, below]): steps to the root, -1 where the parents don't lead there, and the number of nodes below.
+
+    Pointers double their reach in each round.  A pointer is live until it arrives at a node without a parent among the rows;
+    with every round some do, so that pointers which are left once none does run in a circle.  The nodes less than 2^(k+1) steps
+    below are those less than 2^k steps below, and those less than 2^k steps below the nodes that are 2^k steps below.
+    """
+    scratch = Scratch(log.sparkSession, "climbed")
     top = (F.col("node") == F.col("root")) | (F.col("node") == F.col("parent"))
-    jump = log.select("root", "node", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("up"), F.when(top, 0).otherwise(1).cast("bigint").alias("hops"))
-    jump, before = scratch.save(jump, "jump0"), None
-    for r in range(1, rounds):
-        state = jump.agg(F.sum("hops")).first()[0]
-        if state == before:
+    jump = scratch.save(log.select(
+        "root", "node", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("up"), F.when(top, 0).otherwise(1).cast("bigint").alias("hops"),
+        (~top).alias("live"), F.lit(1).cast("bigint").alias("s")), "jump0")
+    before = None
+    for k in range(rounds):
+        live, exact = jump.agg(F.count(F.when(F.col("live"), 1)), F.count(F.when(F.col("hops") == 1 << k, 1))).first()
+        last = live == 0 or live == before
+        before = live
+        if last and not (sizes and exact):
             break
-        before = state
-        over = jump.select("root", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
-        jump = scratch.save(jump.join(over, ["root", "up"], "left").select(
-            "root", "node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")), f"jump{r}")
-        scratch.drop(f"jump{r - 1}")
-    found = jump.select("root", "node", F.when(F.col("up") == F.col("root"), F.col("hops")).otherwise(-1).alias("depth"))
-    return log.join(found, ["root", "node"])
+        new = jump
+        if not last:
+            over = jump.select("root", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("live").alias("live2"))
+            moving = jump.filter("live").join(over, ["root", "up"], "left").select(
+                "root", "node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.coalesce("live2", F.lit(False)).alias("live"), "s")
+            new = moving.unionByName(jump.filter("not live"))
+        if sizes:
+            more = jump.filter(F.col("hops") == 1 << k).groupBy("root", F.col("up").alias("node")).agg(F.sum("s").alias("more"))
+            new = new.join(more, ["root", "node"], "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0))).drop("more")
+        jump = scratch.save(new, f"jump{k + 1}")
+        scratch.drop(f"jump{k}")
+        if last:
+            break
+    there = (F.col("up") == F.col("root")) & ~F.col("live")
+    return jump.select("root", "node", F.when(there, F.col("hops")).otherwise(-1).alias("depth"), *([F.when(F.col("live"), 0).otherwise(F.col("s") - 1).alias("below")] if sizes else []))
+
+
+def depths(log: DataFrame, sizes: bool = False) -> DataFrame:
+    """``log`` with ``depth``, the steps to the root (-1 where the parents don't lead there, as in a circle), and with ``sizes``
+    the number of nodes ``below`` (0 in a circle)."""
+    return log.join(_climbed(log, sizes), ["root", "node"])
 
 
 def ancestors(log: DataFrame, rounds: int = 64) -> DataFrame:
@@ -64,17 +87,15 @@ def summary(log: DataFrame) -> DataFrame:
     A cascade of its root alone has depth 0, size 1, breadth 0, no virality and lifetime 0.
     Virality: with s nodes below and at an edge's lower end, the sum of all distances is the sum of s (n - s).
     """
-    rows = depths(present(log))
+    rows = Scratch(log.sparkSession, "summary").save(depths(present(log), sizes=True), "rows")
     plain = rows.groupBy("root").agg(
         F.max("depth").alias("depth"), F.count_distinct("user").alias("unique_users"), ((F.max(epoch(F.col("ts"))) - F.min(epoch(F.col("ts")))) / 86400).alias("lifetime"),
         F.count(F.when(F.col("node") != F.col("root"), 1)).alias("others"))
     ids = rows.filter("node != root").select("root", F.explode(F.array("node", "parent")).alias("id")).distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     breadth = rows.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("b")).groupBy("root").agg(F.max("b").alias("breadth"))
-    below = ancestors(rows).groupBy("root", F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("below"))
-    sub = rows.filter("node != root").select("root", "node").join(below, ["root", "node"], "left").join(ids, "root")
-    s = (F.coalesce("below", F.lit(0)) + 1).cast("double")
-    wiener = sub.groupBy("root").agg(F.sum(s * (F.col("size") - s)).alias("wiener"))
-    all_ = plain.join(ids, "root", "left").join(breadth, "root").join(wiener, "root", "left")
+    s = (F.col("below") + 1).cast("double")
+    sums = rows.filter("node != root").groupBy("root").agg(F.sum(s).alias("s1"), F.sum(s * s).alias("s2"))
+    all_ = plain.join(ids, "root", "left").join(breadth, "root").join(sums, "root", "left").withColumn("wiener", F.col("size") * F.col("s1") - F.col("s2"))
     some, n = F.col("others") > 0, F.col("size").cast("double")
     return all_.select(
         "root", F.when(some, F.col("depth")).otherwise(0).cast("bigint").alias("depth"), F.when(some, F.col("size")).otherwise(1).cast("bigint").alias("size"),

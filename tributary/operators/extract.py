@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.functions.scalar import iso_time, url_domains
-from tributary.operators.cascade import ancestors
 from tributary.operators.reconstruct import reconstruct, reply_roots
 from tributary.plans.components import components
 from tributary.plans.scratch import Scratch
@@ -82,11 +81,28 @@ def user_alignment(scored: DataFrame, external: DataFrame | None = None, least:
     return components(edges, Scratch(scored.sparkSession, "names")).select(F.col("node").alias("username"), F.col("root").alias("canonical"))
 
 
-def propagate(rows: DataFrame) -> DataFrame:
-    """Each row's informationIDs with those of all its ancestors (nodeID, parentID, rootID)."""
-    log = rows.select(F.col("nodeID").alias("node"), F.col("parentID").alias("parent"), F.lit("").alias("root")).dropDuplicates(["node"])
-    ids = rows.select(F.col("nodeID").alias("above"), F.explode("informationIDs").alias("id")).distinct()
-    handed = ancestors(log).join(ids, "above").groupBy(F.col("node").alias("nodeID")).agg(F.collect_set("id").alias("handed"))
+def propagate(rows: DataFrame, rounds: int = 64) -> DataFrame:
+    """Each row's informationIDs with those of all its ancestors (nodeID, parentID, rootID).
+
+    In each round a node takes the ids of the node that its pointer leads to, and the pointer doubles its reach; after rounds
+    enough for all nodes the pointers that are left run in circles, whose nodes share their ids.
+    """
+    scratch = Scratch(rows.sparkSession, "handed")
+    up = rows.select(F.col("nodeID").alias("node"), F.col("parentID").alias("up")).dropDuplicates(["node"]).filter("up is not null and node != up")
+    up = scratch.save(up.join(rows.select(F.col("nodeID").alias("up")).distinct(), "up", "left_semi").select("node", "up"), "up0")
+    ids = scratch.save(rows.select(F.col("nodeID").alias("node"), F.explode("informationIDs").alias("id")).distinct(), "ids0")
+    n, k = up.count(), 0
+    while k < rounds and not up.isEmpty():
+        handed = up.join(ids.withColumnRenamed("node", "up"), "up").select("node", "id")
+        new_ids = scratch.save(ids.unionByName(handed).distinct(), f"ids{k + 1}")
+        if (1 << k) > n:
+            ids = new_ids
+            break
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        new_up = scratch.save(up.join(over, "up").select("node", F.col("up2").alias("up")), f"up{k + 1}")
+        scratch.drop(f"ids{k}", f"up{k}")
+        ids, up, k = new_ids, new_up, k + 1
+    handed = ids.groupBy(F.col("node").alias("nodeID")).agg(F.collect_set("id").alias("handed"))
     return rows.join(handed, "nodeID", "left").withColumn("informationIDs", merged_ids(F.col("informationIDs"), F.col("handed"))).select(*rows.columns)
 
 
