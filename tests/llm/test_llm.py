@@ -198,9 +198,9 @@ def test_tables_without_rows(spark):
 def test_ogg_round_trip(raw, streams):
     payload = raw + ogg.PAD * (max(1, -(-len(raw) // ogg.FRAME)) * ogg.FRAME - len(raw))
     media = ogg.read(ogg.write(payload, streams))
-    got, rate, times = ogg.demultiplex(media)
+    found = ogg.demultiplex(media)
     n = len(payload) // ogg.FRAME
-    assert got == payload and media.bad_pages == 0 and times == pytest.approx([(k + 1) * ogg.FRAME / rate for k in range(n)])
+    assert found.payload == payload and media.bad_pages == found.lost_pages == 0 and found.times == pytest.approx([(k + 1) * ogg.FRAME / found.rate for k in range(n)])
 
 
 def test_page_checksum_by_the_bitwise_rule():
@@ -229,14 +229,41 @@ def test_packets_continue_over_pages_and_damage_is_found():
 
 def test_media_query(spark):
     df, rows = documents(spark)
-    got = collected(ogg.media_features(df), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = collected(ogg.media_features(df), *columns)
     want = []
     for r in rows:
         p = ogg.padded(r[1])
-        want.append((r[0], len((r[1] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+        media = ogg.write(p)
+        x = np.frombuffer(p, np.uint8).astype(float)
+        pages = sum(media.count(ogg.CAPTURE + b"\0" + bytes([f])) for f in range(8))
+        text = f"seconds={len(p) / ogg.RATE:.6f};pages={pages};mean={x.mean():.4f};std={x.std():.4f};rises={(x[1:] > x[:-1]).mean():.4f}"
+        want.append((r[0], len((r[1] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), text))
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_damaged_media(spark):
+    payload = b"".join(bytes([i % 251]) * ogg.FRAME for i in range(600))
+    data = ogg.write(payload)
+    starts = [m.start() for m in re.finditer(b"OggS\0", data)] + [len(data)]
+    parts = [data[a:b] for a, b in zip(starts, starts[1:])]
+    hurt = [None, b"", b"no media", data[:-1], data + b"tail"]
+    hurt += [b"".join(p for j, p in enumerate(parts) if j != i) for i in range(len(parts))]
+    for at in range(3, len(data), 7919):
+        b = bytearray(data)
+        b[at] ^= 16
+        hurt.append(bytes(b))
+    df = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(hurt)], "i long, media binary")
+    got = {r["i"]: r["samples"] for r in ogg.with_samples(df).collect()}
+    assert len(got) == len(hurt) and all(v is None for v in got[0].asDict().values())
+    assert got[4]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[4]["bad_pages"] == 0
+    for i in [1, 2, 3, *range(5, len(hurt))]:
+        assert got[i]["payload_bytes"] is got[i]["payload_sha256"] is got[i]["feature"] is None and got[i]["media_bytes"] == len(hurt[i])
+    assert all(got[i]["lost_pages"] + got[i]["bad_pages"] + got[i]["lost_frames"] >= 1 for i in range(9, 9 + len(parts) - 6))
+    for i, x in enumerate(hurt[5:], 5):  # what is left is at its place
+        assert all(f == payload[k * ogg.FRAME : (k + 1) * ogg.FRAME] for k, f in ogg.demultiplex(ogg.read(x)).frames.items()), i
+
+
 # 4 language ID
 
 

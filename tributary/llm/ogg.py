@@ -13,7 +13,10 @@ a table of 256 bytes do the work.
 Defined cases: a null text is the empty text, whose payload is one frame of
 padding; repeated rows give equal media; an empty table gives no rows; other
 columns of the input are left out by the query and kept by the column
-functions.
+functions.  Of a null file all values are null.  Of a damaged one (a page, a
+stream or its end missing, or no stream at all) the payload's values and the
+feature are null, and bad and lost pages and lost frames are counted; frames
+that are left keep the place that their granule names.
 """
 
 from __future__ import annotations
@@ -152,26 +155,46 @@ def read(data: bytes) -> Media:
     return Media(streams, bad, skipped)
 
 
-def demultiplex(media: Media) -> tuple[bytes, int, list[float]]:
-    """The payload in order of the streams' frames, its rate, and the end time of each frame in seconds."""
-    own = {}
-    rate = RATE
+@dataclass
+class Samples:
+    """What is left of a payload: its frames by their place, and what is missing."""
+
+    frames: dict[int, bytes]
+    count: int  # frames that there should be, as far as granules tell
+    rate: int
+    whole: bool  # all streams are named, present and ended, and none lacks a page
+    lost_pages: int
+
+    @property
+    def payload(self) -> bytes | None:
+        """The samples in order; none if there is no stream, or if anything is missing."""
+        if not self.whole or len(self.frames) != self.count:
+            return None
+        return b"".join(self.frames[i] for i in range(self.count))
+
+    @property
+    def times(self) -> list[float]:
+        """The end of each frame in seconds."""
+        return [(i + 1) * FRAME / self.rate for i in sorted(self.frames)]
+
+
+def demultiplex(media: Media) -> Samples:
+    """Frames at the places that their granule positions name, so that a hole moves none of them."""
+    names = {s.serial: IDENT.unpack(s.packets[0]) for s in media.streams.values() if s.packets and len(s.packets[0]) == IDENT.size and s.packets[0][:4] == MAGIC}
+    total, rate = max(((n, r) for _, _, n, r in names.values()), default=(max(1, len(media.streams)), RATE))
+    frames: dict[int, bytes] = {}
+    lost = sum(s.lost for s in media.streams.values())
+    whole = len(names) == len(media.streams) == total and not lost and all(s.ended for s in media.streams.values())
     for s in media.streams.values():
-        magic, k, total, rate = IDENT.unpack(s.packets[0])
-        if magic != MAGIC:
-            raise ValueError("not a stream of 8-bit samples")
-        own[k] = s
-    count = sum(len(s.packets) - 1 for s in own.values())
-    payload = b"".join(own[i % len(own)].packets[1 + i // len(own)] for i in range(count))
-    times = []
-    for k, s in own.items():  # from the page's granule backwards: a stream's frames are len(own) frames apart
-        g = np.array(s.granules[1:], np.int64)
-        known = np.flatnonzero(g >= 0)
-        if len(known):
-            last = known[np.searchsorted(known, np.arange(len(g)), side="left").clip(max=len(known) - 1)]
-            g = g[last] - (last - np.arange(len(g))) * FRAME * len(own)
-        times.extend((g / rate).tolist())
-    return payload, rate, sorted(times)
+        own, g = (s.packets[1:], s.granules[1:]) if s.serial in names else (s.packets, s.granules)
+        end = None
+        for packet, granule in zip(reversed(own), reversed(g)):  # a page's last packet has the page's granule; a stream's frames are ``total`` apart
+            end = granule // FRAME - 1 if granule >= 0 else end - total if end is not None else None
+            if end is None or end < 0 or len(packet) != FRAME:
+                whole = False
+            else:
+                frames[end] = packet
+    return Samples(frames, max(frames, default=-1) + 1, rate, whole and bool(media.streams), lost)
 
 
 def padded(text: str | None) -> bytes:
@@ -179,8 +202,10 @@ def padded(text: str | None) -> bytes:
     return raw + PAD * (max(1, -(-len(raw) // FRAME)) * FRAME - len(raw))
 
 
-def feature(payload: bytes, times: list[float], pages: int) -> str:
-    """Seconds, pages, mean and deviation of the samples, and the share of rises between neighbours."""
+def feature(payload: bytes | None, times: list[float], pages: int) -> str | None:
+    """Seconds, pages, mean and deviation of the samples, and the share of rises between neighbours; null without samples."""
+    if not payload:
+        return None
     x = np.frombuffer(payload, np.uint8).astype(np.float64)
     rises = float((np.diff(x) > 0).mean()) if len(x) > 1 else 0.0
     return f"seconds={times[-1] if times else 0.0:.6f};pages={pages};mean={x.mean():.4f};std={x.std():.4f};rises={rises:.4f}"
@@ -197,21 +222,33 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     return docs.withColumn(media, run(F.col(text)))
 
 
+KIND = ("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, streams int, bad_pages int, "
+        "lost_pages int, lost_frames int, seconds double")
+
+
+def described(data: bytes | None) -> tuple:
+    """The values of KIND of one stored file: all null of a null, payload and feature null where something is missing."""
+    if data is None:
+        return (None,) * len(KIND.split(","))
+    m = read(data)
+    found = demultiplex(m)
+    payload, times = found.payload, found.times
+    own = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    return (*own, len(data), hashlib.sha256(data).hexdigest(), feature(payload, times, sum(s.pages for s in m.streams.values())), len(m.streams), m.bad_pages,
+            found.lost_pages, found.count - len(found.frames), times[-1] if times else 0.0)
+
+
 def with_samples(docs: DataFrame, media: str = "media", out: str = "samples") -> DataFrame:
-    """``docs`` with a struct read from the Ogg column: payload digests, rate, frame times' end, pages, damage and features."""
-    kind = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, streams int, bad_pages int, seconds double"
+    """``docs`` with a struct read from the Ogg column: payload digests, features, streams, damage and seconds."""
+    names, kinds = zip(*(c.split() for c in KIND.split(", ")))
+    whole = {"bigint": "Int64", "int": "Int32", "double": "Float64"}
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(KIND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for data in b:
-                m = read(data)
-                payload, rate, times = demultiplex(m)
-                pages = sum(s.pages for s in m.streams.values())
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
-                             feature(payload, times, pages), len(m.streams), m.bad_pages, times[-1] if times else 0.0))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+            rows = [described(data) for data in b]
+            yield pd.DataFrame({n: pd.array([r[i] for r in rows], dtype=whole[k]) if k in whole else pd.Series([r[i] for r in rows], dtype=object)
+                                for i, (n, k) in enumerate(zip(names, kinds))})
 
     return docs.withColumn(out, run(F.col(media)))
 
