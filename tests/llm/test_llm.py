@@ -422,6 +422,9 @@ def test_mixture_reaches_its_targets(spark):
         taken[s] += r["taken"]
         target[s] = r["target"]
         assert 0 <= r["taken"] <= 2 * r["size"]
+    clash = df.withColumns({"target": F.lit(1), "source_size": F.lit(2), "__src": F.lit("x"), "__row": F.lit(3), "a.b": F.lit(4), "__block": F.lit(5)})
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and mixed.filter("target = 1 and __src = 'x' and __block = 5").count() == mixed.count() > 0
     goal, left, weight = 1.5 * sum(size.values()), {}, {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
     left = dict(weight)
     want = {}
@@ -509,6 +512,47 @@ def test_rules_in_columns_equal_rules_in_numpy(spark):
     assert rulefit.fit(x, np.ones(len(x))).column() is not None and rulefit.fit(x[:0], y[:0]).rules == []
 
 
+def test_statistics_by_python(spark):
+    df, rows = documents(spark, [(i, t, "en", "s") for i, t in enumerate([None, "", " ", "A b", "one two two two one two", "x\ny\nx\nx\n", "É9 $$ <a> (ok)!", "l 1\n\n\nl 1", "w " * 3000, "Ä\tü  ü\rZ9"])])
+    got = {r["doc_id"]: r for r in rulefit.with_statistics(df).collect()}
+    for i, t, *_ in rows:
+        t = t or ""
+        w, n, lines = WORD.findall(t), max(1, len(t)), t.split("\n")
+        pairs = list(zip(w, w[1:]))
+        again = lambda xs: (len(xs) - len(set(xs))) / max(1, len(xs))
+        want = dict(
+            chars=math.log1p(len(t)), words=math.log1p(len(w)), word_length=len(t) / max(1, len(w)), upper=sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in t) / n,
+            digits=sum(c in "0123456789" for c in t) / n, symbols=sum(not (c.isalpha() or c.isnumeric() or c in " \t\n\r\v\f.,;:'\"()-") for c in t) / n, lines=t.count("\n") / n,
+            distinct=len(set(w)) / max(1, len(w)), longest_run=sum(a == b for a, b in pairs) / max(1, len(w)), repeated_lines=again(lines), repeated_pairs=again(pairs))
+        if len(w) < 2:
+            want.pop("longest_run")
+        for name, v in want.items():
+            assert got[i]["__q_" + name] == pytest.approx(v), (i, name)
+
+
+def test_lasso_meets_its_conditions():
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(500, 30))
+    m = (m - m.mean(0)) / m.std(0)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * m[:, 0] - m[:, 1] + 0.5)))).astype(float)
+    w, b = rulefit.lasso(m, y, 0.0)
+    p = 1 / (1 + np.exp(-(m @ w + b)))
+    g = m.T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 1e-6 and (np.abs(g[w == 0]) <= rulefit.PENALTY + 1e-6).all() and np.allclose(g[w != 0], -rulefit.PENALTY * np.sign(w[w != 0]), atol=1e-6)
+    loss = lambda w, b: np.mean(np.log1p(np.exp(-(2 * y - 1) * (m @ w + b)))) + rulefit.PENALTY * np.abs(w).sum()
+    assert all(loss(w, b) <= loss(w + rng.normal(size=30) * s, b + rng.normal() * s) for s in (1e-3, 1e-2, 0.1) for _ in range(20))
+
+
+def test_label_samples_are_bounded(spark, monkeypatch):
+    rows = [(i % 50, f"text {i % 70}", "en", "s") for i in range(2000)]
+    df, _ = documents(spark, rows)
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(3000)], "doc_id long, quality int")
+    assert rulefit._few(labels, F.xxhash64("doc_id", "quality"), 100).count() == 100 and rulefit._few(labels, F.xxhash64("doc_id"), 10**6).count() == 3000
+    monkeypatch.setattr(rulefit, "ROWS", 40)
+    got = rulefit.score(df, rulefit.train(df, labels, F.col("doc_id") >= 0)).select("score").distinct().collect()
+    assert all(0 <= r[0] <= 1 for r in got)
+
+
 def test_quality_of_odd_texts(spark):
     df, rows = documents(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, quality int")

@@ -28,7 +28,6 @@ other columns of the input are kept by ``predict``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,6 @@ OTHER, SPACE, BREAK, PAD, FIRST_LETTER = 0, 1, 2, 3, 4
 #: Letters beyond the frequent ones take several symbols, digits to this base; SPELLED marks them until then.
 DIGITS, SPELLED = 16, 255
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample(docs: DataFrame, training: Column) -> list[tuple[str, list[str]]]:
@@ -220,7 +218,7 @@ def predict(docs: DataFrame, labelled: list[tuple[str, list[str]]], pred: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parser = held.value if held else None
         for b in batches:
-            known = [i for i, t in enumerate(b) if parser and t and _LETTER.search(t)]
+            known = [i for i, t in enumerate(b) if parser and t and any(map(str.isalpha, t))]
             lang, sure, rate = [UNDETERMINED] * len(b), np.zeros(len(b)), np.full(len(b), np.nan)
             if known:
                 codes = [parser.alphabet.codes(b.iloc[i]) for i in known]

@@ -103,7 +103,7 @@ class Mix:
                  seed: str = "mix", keep: list[str] | None = None):
         self.scratch = Scratch(docs.sparkSession, "mix")
         rows = docs.select(
-            *(keep or ["doc_id"]),
+            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row") if keep else "doc_id",
             words(F.col("text")).alias("__words"),
             source_key(F.col("source")).alias("__src"),
             shuffle_key(seed, F.col("doc_id")).alias("__key"),
@@ -150,12 +150,11 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the schedule takes the block its first word is in; texts without words go.
 
-    The rows keep all their columns and travel once by (source, bucket) and once by (source, block).
+    The rows keep all their columns, whatever their names, and travel once by (source, bucket) and once by (source, block).
     """
-    columns = [c for c in docs.columns]
-    mix = Mix(docs, keep=columns, **options)
+    mix = Mix(docs, keep=docs.columns, **options)
     start = mix.line.filter("__words > 0").withColumn("__block", F.expr("__from div __length"))
-    return start.join(mix.slots.select("__src", "__block"), ["__src", "__block"]).select(*columns)
+    return start.join(mix.slots.select("__src", "__block"), ["__src", "__block"]).select("__row.*")
 
 
 #: Of equal blocks for all sources, as they are wherever each source has one part in PARTS of the targets or blocks are single words.

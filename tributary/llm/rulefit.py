@@ -6,8 +6,8 @@ rule, a conjunction of thresholds.  A logistic model over the rules is fitted
 with an L1 penalty, which leaves few of them; those are compiled into one
 Spark column expression, so that scoring runs inside the JVM.
 
-Only the fitting is bounded (ROWS labelled rows, by a hash of the id); every
-whole text is scored.
+Only the fitting is bounded (ROWS labelled rows, by a hash of the id, and
+2 ROWS of distinct texts of them); every whole text is scored.
 
 Defined cases: a null text has the statistics of the empty text and is
 scored like it; rows without a label don't take part in fitting; a document
@@ -31,11 +31,17 @@ ROWS, TREES, DEPTH, BINS = 20_000, 24, 3, 64
 #: Rows that a leaf and a rule hold at least: a 200th of the sample, between these.
 LEAF = (2, 25)
 RATE, PENALTY, STEPS = 0.3, 0.002, 400
-STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "lines", "distinct", "longest_run")
+STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "lines", "distinct", "longest_run", "repeated_lines", "repeated_pairs")
+
+
+def repeated(items: Column) -> Column:
+    """The share of an array's items that are equal to an earlier one; 0 of an empty array."""
+    return (F.size(items) - F.size(F.array_distinct(items))) / F.greatest(F.size(items), F.lit(1)).cast("double")
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Name to expression; shares are of characters, but ``distinct`` of words and ``longest_run`` of neighbours."""
+    """Name to expression; shares are of characters, but ``distinct`` of words, ``longest_run`` of words like the one before,
+    ``repeated_lines`` of lines and ``repeated_pairs`` of pairs of neighbouring words that were there before."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     per = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
@@ -46,6 +52,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "digits": per("[0-9]"),
         "symbols": per(r"[^\p{L}\p{N}\s.,;:'\x22()-]"),
         "lines": per(r"\n"),
+        "repeated_lines": repeated(F.split(t, "\n")),
         "__parts": parts,
     }
 
@@ -55,11 +62,14 @@ def with_statistics(docs: DataFrame, prefix: str = "__q_") -> DataFrame:
     got = docs.withColumns({prefix + k.strip("_"): v for k, v in s.items()})
     parts, n = F.col(prefix + "parts"), F.size(prefix + "parts")
     some = F.greatest(n, F.lit(1)).cast("double")
+    after = F.slice(parts, 2, F.greatest(n, F.lit(1)))
+    pairs = F.zip_with(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), after, lambda a, b: F.xxhash64(a, b))
     counted = got.withColumns({
         prefix + "words": F.log1p(n.cast("double")),
         prefix + "word_length": F.coalesce(F.length("text"), F.lit(0)) / some,
         prefix + "distinct": F.size(F.array_distinct(parts)) / some,
-        prefix + "longest_run": (n - F.size(F.filter(F.zip_with(parts, F.slice(parts, 2, F.greatest(n, F.lit(1))), lambda a, b: a.eqNullSafe(b)), lambda same: ~same))) / some,
+        prefix + "longest_run": (n - F.size(F.filter(F.zip_with(parts, after, lambda a, b: a.eqNullSafe(b)), lambda same: ~same))) / some,
+        prefix + "repeated_pairs": repeated(pairs),
     })
     return counted.drop(prefix + "parts")
 
@@ -164,29 +174,43 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
     if not kept:
         return Ensemble(prior, [], [])
     m = np.stack([c for _, c in columns.values()], 1).astype(np.float64)
-    scale = m.std(0)
-    m = (m - m.mean(0)) / scale
+    scale, means = m.std(0), m.mean(0)
+    w, b = lasso((m - means) / scale, y, prior)
+    own = w / scale
+    some = np.flatnonzero(np.abs(w) > 1e-6)
+    return Ensemble(float(b - (own * means).sum()), [kept[i] for i in some], [float(own[i]) for i in some])
+
+
+def lasso(m: np.ndarray, y: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the mean logistic loss plus PENALTY times the sum of absolute weights, by accelerated proximal gradient."""
     step = 4 * len(y) / np.linalg.norm(m, 2) ** 2
-    w, v, b, t = np.zeros(m.shape[1]), np.zeros(m.shape[1]), prior, 1.0
-    for _ in range(STEPS):  # accelerated proximal gradient
+    w, v, b, t = np.zeros(m.shape[1]), np.zeros(m.shape[1]), bias, 1.0
+    for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(m @ v + b)))
         new = v - step * (m.T @ (p - y)) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0)
         b -= (p - y).mean() * 4 * 0.5
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v, w = new + (old - 1) / t * (new - w), new
-    own = w / scale
-    means = np.stack([c for _, c in columns.values()], 1).mean(0)
-    some = np.flatnonzero(np.abs(w) > 1e-6)
-    return Ensemble(float(b - (own * means).sum()), [kept[i] for i in some], [float(own[i]) for i in some])
+    return w, b
+
+
+def _few(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """``most`` rows by the least hashes; of more rows only those below a hash that leaves about as many reach the driver's merge."""
+    n = df.count()
+    if n > most:
+        share = min(1.0, (most + 6 * most**0.5) / n)
+        df = df.filter(key <= F.lit(int(-(2**63) + share * (2**64 - 1))))
+    return df.orderBy(key, *df.columns).limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "quality") -> Ensemble:
     """``training`` is over doc_id; ``docs`` (doc_id, text), ``labels`` (doc_id and ``label``)."""
     known = labels.select("doc_id", F.col(label).cast("double").alias("__y")).filter(training & F.col("__y").isNotNull())
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    got = with_statistics(rows).select("__y", *["__q_" + s for s in STATISTICS]).toPandas()
+    few = _few(known, F.xxhash64("doc_id"), ROWS)
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"))
+    distinct = rows.select("doc_id", F.xxhash64("text").alias("__h"), "__y", *["__q_" + s for s in STATISTICS]).dropDuplicates(["doc_id", "__h", "__y"])
+    got = _few(distinct, F.xxhash64("doc_id", "__h"), 2 * ROWS).select("__y", *["__q_" + s for s in STATISTICS]).toPandas()
     got = got.sort_values(list(got.columns)).to_numpy(np.float64)
     return fit(got[:, 1:], got[:, 0])
 
