@@ -108,13 +108,35 @@ def test_components_equal_brute_force(spark, size, percent):
     assert sorted(collected(jaccard.components_of(df, size, percent), "doc_id", "n_shingles", "component_id")) == brute_components(rows, size, percent)
 
 
-def test_heavy_cells_are_taken_apart_exactly(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HEAVY", 600)
-    rows = near_copies(random.Random(8), 60)
+@pytest.mark.parametrize("heavy, rounds, shrunk", [(600, 4, 0.7), (300, 2, 2.0)])
+def test_heavy_cells_are_taken_apart_exactly(spark, monkeypatch, heavy, rounds, shrunk):
+    """Near copies of several kinds that share passages, so that regions are parted by documents, and joined as pairs of blocks."""
+    for k, v in {"HEAVY": heavy, "ROUNDS": rounds, "SHRUNK": shrunk, "PIVOTS": 3}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    rng = random.Random(8)
+    rows = near_copies(rng, 60)
+    common = [f"c{i}" for i in range(12)]
+    kinds = [[*common, *(f"k{k}x{i}" for i in range(40))] for k in range(4)]
+    for i in range(70):
+        w = list(kinds[i % 4])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(12, len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(collected(jaccard.components_of(df), "doc_id", "n_shingles", "component_id")) == brute_components(rows)
 
 
+def test_ids_that_are_null_repeated_or_large(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])
+    rows = [(2**60 + 1, near(59)), (None, near(58)), (None, near(58)), (7, near(57)), (7, "a b c d e f"), (8, "a b c d e f"), (None, "lone words here they are"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, collected(jaccard.components_of(df, 3, 80), "doc_id", "n_shingles", "component_id")))
+    assert got == sorted(map(str, [(2**60 + 1, 58, 7), (None, 58, 7), (None, 58, 7), (7, 58, 7), (7, 4, 7), (8, 4, 7), (None, 3, None), (None, 0, None), (3, 0, 3)]))
+    gone = sorted(map(str, collected(jaccard.duplicates(df, 3, 80).join(df.withColumn("key", F.xxhash64("text")).distinct(), ["key"]).select("text", jaccard.F.col("key")), "text")))
+    assert gone == sorted(map(str, [(near(59),), (near(58),), ("a b c d e f",), ("a b c d e f",)]))
+
+
 def test_regions_by_document_pivots_lose_no_link():
     rng = random.Random(3)
     base = [rng.sample(range(10_000), 60) for _ in range(12)]
@@ -628,6 +650,26 @@ def test_nearest_duplicates_of_repeated_rows(spark):
     long = "one two three four five six seven eight nine ten"
     df, _ = documents(spark, [(1, long, "en", "s"), (1, long, "en", "s"), (2, long, "en", "s"), (3, None, "en", "s"), (4, "", "en", "s")])
     assert sorted(r["doc_id"] for r in p.near_duplicates(spark, df, DATA).collect()) == [1, 3, 4]
+    rows = [(1, long, "en", "s"), (2, long, "en", "s"), (2, "another clean text of seven words", "en", "s"), (2, "another clean text of seven words", "en", "s"), (None, "a row without an id stays", "en", "s"), (None, long, "en", "s")]
+    df, _ = documents(spark, rows)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in p.near_duplicates(spark, df, DATA).collect())
+    assert got == [("1", long), ("2", "another clean text of seven words"), ("None", "a row without an id stays")]
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+    from tributary.plans.scratch import Scratch
+
+    docs, scratch = spark.read.parquet(f"{DATA}/documents.parquet"), Scratch(spark, "test")
+    names = ["target", "source_size", "__src", "__row", "__key", "__h", "__score", "score", "size", "root", "digest", "fit"]
+    odd = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    odd = odd.unionByName(spark.createDataFrame([(None, None, None, None, None, *[2] * len(names)), (1, "", "en", "a", 0, *[0] * len(names)), (None, "word " * 30_000, None, None, 1, *[1] * len(names))], odd.schema))
+    for table in (odd, odd.limit(0)):
+        for name, stage in p.STAGES:  # every stage on the whole table
+            out = scratch.save(stage(spark, table, DATA), f"{name}{table is odd}")
+            if name != p.STAGES[-1][0]:
+                assert out.columns == odd.columns and (out.count() > 0) == (table is odd)
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def test_entry_lists_the_queries():

@@ -22,26 +22,35 @@ longer shrink, and then compared pair by pair, in blocks, with bounds by size.
 Members known to be connected aren't compared again.  Nothing is approximate.
 
 Regions are gathered so that a set travels once: sets that share a pivot,
-directly or over others, form a cell.  A cell with more than HEAVY shingles is
-taken apart into its regions, and a region with more than that into pairs of
-blocks, so no task holds more than a bounded number of shingles however many
-near copies there are.  Equal sets are one class from the start and are never
-paired.  All tables between stages are written to the shared folder.
+directly or over others, form a cell, which one task joins as far as it has at
+most HEAVY shingles.  A heavier cell is taken apart into its regions, and a
+heavier region by whole-document pivots over the cluster, as above but with
+tables: K members are pivots, blocks of the region meet them, every member is
+copied to the sub-regions that its window reaches, and those are light, or
+parted again by other pivots, or, where they don't shrink, joined as pairs of
+blocks.  Members that link to one pivot are of one class and needn't meet
+again, so that a group of near copies takes time in proportion to its size;
+only blocks that hold several classes or none meet all others.  Equal sets are
+one class from the start and are never paired.  All tables between stages are
+written to the shared folder.
 
 Defined cases: null texts and texts without words have the empty set, which
 links with nothing; repeated rows and equal texts link; repeated ids are rows
-of their own, an id's component being that of its set; an empty table gives no
-rows; other columns of the input are left out.
+of their own, an id's component being that of its set; rows with a null id
+link like others, and a component of such rows alone has a null id; an empty
+table gives no rows; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.llm.shingles import shingle_sets
@@ -50,8 +59,10 @@ from tributary.plans.ranking import running
 from tributary.plans.scratch import Scratch
 
 #: Shingles in a cell, and in a page of the frequency count; sets that a task remembers.
-HEAVY, PAGE_SHINGLES, PAGE_SETS, REMEMBERED = 2_000_000, 250_000, 4_096, 200_000
+HEAVY, PAGE_SHINGLES, PAGE_SETS, REMEMBERED = 1_000_000, 250_000, 4_096, 200_000
 SMALL, PIVOTS, BLOCK, COLUMNS = 64, 8, 256, 4_096
+#: Rounds of document pivots over the cluster, and the share of a region that counts as shrunk.
+ROUNDS, SHRUNK = 4, 0.7
 
 
 def window(n: int, percent: int) -> int:
@@ -60,7 +71,7 @@ def window(n: int, percent: int) -> int:
 
 
 def _sketches(size: int, percent: int, classes: int):
-    """A page of sets a row: doc_ids, sizes, digests; of the sets that are new to the task the shingles of the first class and as many of the others as the window lacks."""
+    """A page of sets a row: doc_ids, keys of texts, sizes, digests; of the sets that are new to the task the shingles of the first class and as many of the others as the window lacks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -71,7 +82,7 @@ def _sketches(size: int, percent: int, classes: int):
         for f in frames:
             for a in range(0, len(f), 256):
                 part = f.iloc[a : a + 256]
-                for d, x in zip(part["doc_id"], shingle_sets(part["text"], size)):
+                for d, key, x in zip(part["doc_id"], part["key"], shingle_sets(part["text"], size)):
                     digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                     new = len(x) > 0 and digest not in seen
                     if new:
@@ -85,7 +96,7 @@ def _sketches(size: int, percent: int, classes: int):
                         rest.append(other)
                     counts.append(len(first[-1]) if new else 0)
                     rests.append(len(rest[-1]) if new else 0)
-                    rows.append((d, len(x), digest))
+                    rows.append((d, key, len(x), digest))
                 if rows and (len(rows) >= PAGE_SETS or sum(map(len, first)) >= PAGE_SHINGLES):
                     yield out(page, rows, first, counts, rest, rests)
                     page += 1
@@ -96,7 +107,7 @@ def _sketches(size: int, percent: int, classes: int):
     def out(page, rows, first, counts, rest, rests):
         blob = lambda parts, kind: (np.concatenate(parts) if parts else np.zeros(0)).astype(kind).tobytes()
         return pd.DataFrame({
-            "page": [page], "doc_ids": [[r[0] for r in rows]], "sizes": [[r[1] for r in rows]], "digests": [[r[2] for r in rows]],
+            "page": [page], "doc_ids": [[r[0] for r in rows]], "keys": [[r[1] for r in rows]], "sizes": [[r[2] for r in rows]], "digests": [[r[3] for r in rows]],
             "counts": [np.array(counts, np.int32).tobytes()], "first": [blob(first, np.uint64)],
             "rests": [np.array(rests, np.int32).tobytes()], "rest": [blob(rest, np.uint64)],
         })
@@ -104,52 +115,50 @@ def _sketches(size: int, percent: int, classes: int):
     return run
 
 
+def _places(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A page's distinct shingles by bucket, how many sets hold each, where each entry finds its own, and their buckets."""
+    u, which, n = np.unique(h, return_inverse=True, return_counts=True)
+    bucket = ((u >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(u), np.int64)
+    back[order] = np.arange(len(u))
+    return u[order], n[order], back[which], bucket[order]
+
+
 def _deal(parts: int):
-    """A page's shingles with their places (as differences, which compress), by bucket of the hash."""
+    """A page's distinct shingles and their counts by bucket of the hash: a frequent shingle is one entry a page."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for page, counts, first in zip(f["page"], f["counts"], f["first"]):
-                h = np.frombuffer(first, np.uint64)
-                if not len(h):
-                    continue
-                place = np.arange(len(h), dtype=np.uint32)
-                bucket = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for at in np.split(order, cuts):
-                    yield pd.DataFrame({"bucket": [int(bucket[at[0]])], "page": [page], "hashes": [h[at].tobytes()], "places": [np.diff(place[at], prepend=np.uint32(0)).tobytes()]})
+            for page, first in zip(f["page"], f["first"]):
+                u, n, _, bucket = _places(np.frombuffer(first, np.uint64), parts)
+                if len(u):
+                    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(u)]
+                    yield pd.DataFrame([(int(bucket[a]), page, u[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in pairwise(edges)],
+                                       columns=["bucket", "page", "hashes", "counts"])
 
     return run
 
 
 def _frequencies(f: pd.DataFrame) -> pd.DataFrame:
-    """For each page the places of its shingles that several sets hold, and how many (255: as many or more, which keeps one global order)."""
+    """For each page how many sets of the corpus hold its shingles (255: as many or more, which keeps one global order)."""
     sizes = [len(x) // 8 for x in f["hashes"]]
     h = np.frombuffer(b"".join(f["hashes"]), np.uint64)
-    _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-    df = n[which].astype(np.uint32)
-    rows, at = [], 0
-    for page, size, places in zip(f["page"], sizes, f["places"]):
-        own = df[at : at + size]
-        some = own > 1
-        if some.any():
-            at_ = np.cumsum(np.frombuffer(places, np.uint32), dtype=np.uint32)[some]
-            rows.append((page, at_.tobytes(), np.minimum(own[some], 255).astype(np.uint8).tobytes()))
-        at += size
-    return pd.DataFrame(rows, columns=["page", "places", "dfs"])
-
-
-def _windows(percent: int):
+    _, which = np.unique(h, return_inverse=True)
+    total = np.bincount(which, np.frombuffer(b"".join(f["counts"]), np.uint32))
+    df = np.minimum(total, 255).astype(np.uint8)[which]
+    cuts = np.cumsum([0, *sizes])
+    return pd.DataFrame({"page": f["page"], "bucket": f["bucket"], "dfs": [df[a:b].tobytes() for a, b in pairwise(cuts)]})
+
+
+def _windows(percent: int, parts: int):
     """Of each set of a page the shingles of its window that another set may hold."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pivots, owners, sizes = [], [], []
         for r in left.itertuples():
             h, rest = np.frombuffer(r.first, np.uint64), np.frombuffer(r.rest, np.uint64)
-            df = np.ones(len(h), np.uint32)
-            if len(right):
-                df[np.frombuffer(b"".join(right["places"]), np.uint32)] = np.frombuffer(b"".join(right["dfs"]), np.uint8)
+            df = np.frombuffer(b"".join(right.sort_values("bucket")["dfs"]), np.uint8)[_places(h, parts)[2]] if len(h) else np.zeros(0, np.uint8)
             a = b = 0
             for digest, n, c, c2 in zip(r.digests, r.sizes, np.frombuffer(r.counts, np.int32), np.frombuffer(r.rests, np.int32)):
                 if c or c2:
@@ -169,13 +178,27 @@ def _windows(percent: int):
     return run
 
 
+def distances(sets: list[np.ndarray], sizes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the distance to the set ``p``, and how many shingles they share."""
+    flat = np.concatenate(sets)
+    at = np.searchsorted(p, flat)
+    hit = p[np.minimum(at, len(p) - 1)] == flat
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    common = np.add.reduceat(hit.astype(np.int64), starts)
+    return 1 - common / (sizes + len(p) - common), common
+
+
 class Join:
-    """Connects all links among the sets of one cell."""
+    """Connects all links among the sets of one cell; sets of one class, where they have one, are connected already."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, classes: list[bytes | None] | None = None):
         self.sets, self.percent, self.eps = sets, percent, 1 - percent / 100
         self.size = np.array([len(s) for s in sets], np.int64)
         self.parent = list(range(len(sets)))
+        first: dict[bytes, int] = {}
+        for i, c in enumerate(classes or []):
+            if c is not None:
+                self.parent[i] = first.setdefault(c, i)
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -218,15 +241,6 @@ class Join:
             if rows[i] != cols[j]:
                 self.link(int(rows[i]), int(cols[j]))
 
-    def distances(self, ids: np.ndarray, pivot: int) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([self.sets[i] for i in ids])
-        p = self.sets[pivot]
-        at = np.searchsorted(p, flat)
-        hit = p[np.minimum(at, len(p) - 1)] == flat
-        starts = np.concatenate(([0], np.cumsum(self.size[ids])[:-1]))
-        common = np.add.reduceat(hit.astype(np.int64), starts)
-        return 1 - common / (self.size[ids] + len(p) - common), common
-
     def region(self, ids: np.ndarray) -> None:
         if len({self.find(int(i)) for i in ids}) == 1:
             return
@@ -237,7 +251,7 @@ class Join:
         d = np.empty((len(ids), PIVOTS))
         chosen = []
         for k in range(PIVOTS):
-            d[:, k], common = self.distances(ids, pivot)
+            d[:, k], common = distances([self.sets[i] for i in ids], self.size[ids], self.sets[pivot])
             chosen.append(pivot)
             for i in ids[self.linked(common, self.size[ids], np.int64(self.size[pivot]))]:
                 self.link(pivot, int(i))
@@ -263,16 +277,66 @@ class Join:
                 self.compare(ids[bx], ids[by])
 
 
-def _joined(percent: int):
+    def across(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Joins two blocks of a region, each of which is joined on its own elsewhere."""
+        by_size = lambda ids: ids[np.argsort(self.size[ids], kind="stable")]
+        left, right = by_size(left), by_size(right)
+        for bx in np.split(left, range(BLOCK, len(left), BLOCK)):
+            for by in np.split(right, range(BLOCK, len(right), BLOCK)):
+                small, large = (bx, by) if self.size[bx[-1]] < self.size[by[0]] else (by, bx)
+                if 100 * self.size[small].max() < self.percent * self.size[large].min() or len({self.find(int(i)) for i in np.concatenate([bx, by])}) == 1:
+                    continue
+                self.compare(bx, by)
+
+
+def _joined(percent: int) -> Callable:
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        digests = list(f["digest"])
-        j = Join([np.frombuffer(b, np.uint64) for b in f["shingles"]], percent)
-        j.region(np.arange(len(digests)))
+        f = f.sort_values("digest")
+        digests, side = list(f["digest"]), f["side"].to_numpy()
+        j = Join([np.frombuffer(b, np.uint64) for b in f["shingles"]], percent, list(f["class"]))
+        if side.any():
+            j.across(np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        else:
+            j.region(np.arange(len(digests)))
         return pd.DataFrame({"a": pd.Series([digests[x] for x, _ in j.links], dtype=object), "b": pd.Series([digests[y] for _, y in j.links], dtype=object)})
 
     return run
 
 
+NEAR = "region string, digest binary, n bigint, class binary, core binary, ks array<int>"
+
+
+def _near(percent: int) -> Callable:
+    """A block of a region meets the region's pivots: the pivot that each member links to and the Voronoi regions in its window.
+
+    Links of the pivots among themselves are rows without ``ks``.
+    """
+
+    def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(members):
+            return pd.DataFrame([], columns=[c.split()[0] for c in NEAR.split(", ")])
+        region, eps = members["region"].iloc[0], 1 - percent / 100
+        pivots = pivots.sort_values("k")
+        names, points = list(pivots["digest"]), [np.frombuffer(b, np.uint64) for b in pivots["shingles"]]
+        among = Join(points, percent)
+        among.compare(np.arange(len(points)), np.arange(len(points)))
+        sets = [np.frombuffer(b, np.uint64) for b in members["shingles"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        d, linked = np.empty((len(sets), len(points))), np.empty((len(sets), len(points)), bool)
+        for k, p in enumerate(points):
+            d[:, k], common = distances(sets, sizes, p)
+            linked[:, k] = among.linked(common, sizes, np.int64(len(p)))
+        inside = d - d.min(1)[:, None] <= 2 * eps + 1e-9
+        rows = [(region, names[x], 0, None, names[y], None) for x, y in among.links]
+        for i, (digest, n, known) in enumerate(zip(members["digest"], members["n"], members["class"])):
+            k = int(linked[i].argmax()) if linked[i].any() else -1
+            own = names[among.find(k)] if k >= 0 else None
+            rows.append((region, digest, n, known if known is not None else own, names[k] if k >= 0 else None, np.flatnonzero(inside[i]).tolist()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in NEAR.split(", ")])
+
+    return run
+
+
 def _sets(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -283,58 +347,122 @@ def _sets(size: int):
     return run
 
 
-def _cells(pivots: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cell, digest): a connected cell where it is light, else the regions of its pivots, else pairs of their blocks."""
-    node = pivots.select("digest", "n").distinct().join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    node = node.withColumn("root", F.coalesce("root", "digest"))
-    weight = node.groupBy("root").agg(F.sum("n").alias("__w"))
-    heavy = weight.filter(F.col("__w") > HEAVY).select("root")
-    light = node.join(heavy, "root", "left_anti").select(F.hex("root").alias("cell"), "digest")
-    apart = pivots.join(node.join(heavy, "root", "left_semi").select("digest"), "digest", "left_semi")
-    apart = apart.withColumn("__bucket", F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int"))
-    laid = running(apart, ["pivot"], "__bucket", ["digest"], weight="n")
-    half = HEAVY // 2
-    blocks = laid.select("pivot", "digest", F.expr(f"__before div {half}").alias("i"), F.expr(f"(__total - 1) div {half}").alias("last"))
-    pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
-    cell = F.concat_ws(":", F.hex("pivot"), F.least("i", "j"), F.greatest("i", "j"))
-    return light.unionByName(pairs.select(cell.alias("cell"), "digest"))
+def _weighed(rows: DataFrame) -> DataFrame:
+    """(region, w, uniform): the shingles of each region, and whether its members are of one class."""
+    return rows.groupBy("region").agg(
+        F.sum("n").alias("w"), ((F.count("class") == F.count(F.lit(1))) & F.min("class").eqNullSafe(F.max("class"))).alias("uniform"))
 
 
-def components_of(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Cells of regions that don't shrink: pairs of blocks, but those whose members are all of one class."""
+    half = HEAVY // 2
+    by = F.coalesce(F.hex("class"), F.lit(""))
+    rows = rows.withColumn("__by", by).withColumn("__bucket", F.when(F.col("__by") == "", -1).otherwise(F.conv(F.substring("__by", 1, 2), 16, 10).cast("int")) * 64 + F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int"))
+    laid = running(rows, ["region"], "__bucket", ["__by", "digest"], weight="n").withColumn("block", F.expr(f"__before div {half}")).select("region", "digest", "class", "block")
+    own = laid.groupBy("region", "block").agg(F.when((F.count("class") == F.count(F.lit(1))) & (F.min("class") == F.max("class")), F.min("class")).alias("one"))
+    a, b = own.select("region", F.col("block").alias("i"), F.col("one").alias("one_i")), own.select("region", F.col("block").alias("j"), F.col("one").alias("one_j"))
+    pairs = a.join(b, "region").filter("i <= j and not coalesce(one_i = one_j, false)").withColumn("cell", F.concat_ws(":", "region", "i", "j"))
+    sides = pairs.select("region", "cell", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("i < j").select("region", "cell", F.col("j").alias("block"), F.lit(1).alias("side")))
+    return laid.join(sides, ["region", "block"]).select("cell", "digest", "class", "side")
+
+
+def _cells(pivots: DataFrame, roots: DataFrame, fetch: Callable, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(cell, digest, class, side) of all cells, and the links (a, b) that were found on the way."""
+    node = pivots.select("digest", "n").distinct().join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    node = scratch.save(node.withColumn("root", F.coalesce("root", "digest")), "nodes")
+    heavy = node.groupBy("root").agg(F.sum("n").alias("__w")).filter(F.col("__w") > HEAVY).select("root")
+    plain = lambda df, cell: df.select(cell.alias("cell"), "digest", F.lit(None).cast("binary").alias("class"), F.lit(0).alias("side"))
+    cells = [plain(node.join(heavy, "root", "left_anti"), F.hex("root"))]
+    apart = node.join(heavy, "root", "left_semi").select("digest")
+    if apart.isEmpty():
+        return cells[0], None
+    rows = pivots.join(apart, "digest", "left_semi").select(F.hex("pivot").alias("region"), "digest", "n", F.lit(None).cast("binary").alias("class"))
+    rows = scratch.save(rows.join(_weighed(rows).select("region", "w"), "region"), "apart")
+    cells.append(plain(rows.filter(F.col("w") <= HEAVY), F.col("region")))
+    rows, links = rows.filter(F.col("w") > HEAVY), []
+    for r in range(ROUNDS):
+        if rows.isEmpty():
+            break
+        rows = scratch.save(rows.join(fetch(rows.select("digest").distinct()), "digest"), f"heavy{r}")
+        first = W.partitionBy("region").orderBy(F.xxhash64("digest", F.lit(r)), "digest")
+        chosen = rows.select("region", "digest", "w").withColumn("k", F.row_number().over(first) - 1).filter(F.col("k") < PIVOTS)
+        blocks = F.expr(f"w div {HEAVY // 4} + 1")
+        chosen = chosen.join(rows.select("region", "digest", "shingles"), ["region", "digest"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), blocks))
+        chosen = chosen.select(*[F.col(c).alias(c) for c in ("region", "block", "k", "digest", "shingles")])  # both sides come from one table
+        near = scratch.save(dealt.select("region", "block", "digest", "n", "class", "shingles").groupBy("region", "block").cogroup(
+            chosen.groupBy("region", "block")).applyInPandas(_near(percent), NEAR), f"near{r}")
+        links.append(near.filter("core is not null and core != digest").select(F.col("digest").alias("a"), F.col("core").alias("b")).distinct())
+        sub = near.join(rows.select("region", "w").distinct(), "region").select(
+            "region", "w", "digest", "n", "class", F.explode("ks").alias("k")).select(F.concat_ws("/", "region", "k").alias("region"), F.col("w").alias("before"), "digest", "n", "class")
+        sub = scratch.save(sub.join(_weighed(sub), "region").filter("not uniform"), f"parts{r}")
+        cells.append(sub.filter(F.col("w") <= HEAVY).select(F.col("region").alias("cell"), "digest", "class", F.lit(0).alias("side")))
+        still = sub.filter(F.col("w") > HEAVY)
+        shrunk = F.col("w") <= SHRUNK * F.col("before")
+        cells.append(_blocks(still.filter(~shrunk) if r + 1 < ROUNDS else still))
+        rows = still.filter(shrunk if r + 1 < ROUNDS else F.lit(False)).drop("before", "uniform")
+    out, found = cells[0], links[0] if links else None
+    for c in cells[1:]:
+        out = out.unionByName(c)
+    for x in links[1:]:
+        found = found.unionByName(x)
+    return out, found
+
+
+def linked_documents(docs: DataFrame, value: Column, size: int, percent: int) -> DataFrame:
+    """``docs`` (doc_id, text) to doc_id, key (a hash of the text), n_shingles and least, the smallest ``value`` (over the others) that links lead to; null of empty sets."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     classes = np.uint64(max(1, min(4, 60 // (100 - percent))))  # a class should be well larger than a window
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     sketch = scratch.save(texts.mapInPandas(
         _sketches(size, percent, classes),
-        f"page bigint, doc_ids array<{kind}>, sizes array<bigint>, digests array<binary>, counts binary, first binary, rests binary, rest binary"), "sketch")
+        "page bigint, doc_ids array<string>, keys array<bigint>, sizes array<bigint>, digests array<binary>, counts binary, first binary, rests binary, rest binary"), "sketch")
     shingles = sketch.agg(F.coalesce(F.sum(F.octet_length("first") / 8), F.lit(0))).first()[0]
     parts = max(24, int(shingles // 400_000))
-    dealt = sketch.select("page", "counts", "first").mapInPandas(_deal(parts), "bucket bigint, page bigint, hashes binary, places binary")
-    often = dealt.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_frequencies, "page bigint, places binary, dfs binary")
-    pivots = sketch.drop("doc_ids").groupBy("page").cogroup(often.groupBy("page")).applyInPandas(_windows(percent), "pivot bigint, digest binary, n bigint")
+    dealt = sketch.select("page", "first").mapInPandas(_deal(parts), "bucket bigint, page bigint, hashes binary, counts binary")
+    often = dealt.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_frequencies, "page bigint, bucket bigint, dfs binary")
+    pivots = sketch.drop("doc_ids", "keys").groupBy("page").cogroup(often.groupBy("page")).applyInPandas(_windows(percent, parts), "pivot bigint, digest binary, n bigint")
     pivots = scratch.save(pivots.distinct(), "pivots")
     regions = pivots.groupBy("pivot").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
     pivots = scratch.save(pivots.join(regions.select("pivot", "centre"), "pivot"), "regions")
     roots = components(pivots.select(F.col("digest").alias("a"), F.col("centre").alias("b")), scratch, "cells")
-    cells = _cells(pivots.select("pivot", "digest", "n"), roots)
-
-    members = sketch.select(F.explode(F.arrays_zip("doc_ids", "sizes", "digests")).alias("m")).select(
-        F.col("m.doc_ids").alias("doc_id"), F.col("m.sizes").alias("n_shingles"), F.col("m.digests").alias("digest"))
-    classes = members.groupBy("digest").agg(F.min("doc_id").alias("__least"))
-    wanted = classes.join(pivots.select("digest").distinct(), "digest").select(F.col("__least").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(size), "digest binary, shingles binary").dropDuplicates(["digest"])
-    links = cells.join(sets, "digest").groupBy("cell").applyInPandas(_joined(percent), "a binary, b binary")
-    links = scratch.save(links, "links")
-    linked = components(links, scratch, "links")
-    whole = classes.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = whole.groupBy("root").agg(F.min("__least").alias("component_id"))
-    named = scratch.save(whole.join(least, "root").select("digest", "component_id"), "named")
-    scratch.drop("pivots", "regions", "links")
-    return members.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+    members = sketch.select(F.explode(F.arrays_zip("doc_ids", "keys", "sizes", "digests")).alias("m")).select(
+        F.col("m.doc_ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("m.keys").alias("key"), F.col("m.sizes").alias("n_shingles"), F.col("m.digests").alias("digest"))
+    least = members.groupBy("digest").agg(F.min("key").alias("key"))
+
+    def fetch(digests: DataFrame) -> DataFrame:
+        """(digest, shingles), read from one text of each digest."""
+        wanted = least.join(digests, "digest", "left_semi").select("key").distinct()
+        return texts.join(wanted, "key", "left_semi").mapInPandas(_sets(size), "digest binary, shingles binary").dropDuplicates(["digest"])
+
+    cells, more = _cells(pivots.select("pivot", "digest", "n"), roots, fetch, percent, scratch)
+    links = cells.join(fetch(pivots.select("digest").distinct()), "digest").groupBy("cell").applyInPandas(_joined(percent), "a binary, b binary")
+    links = scratch.save(links.unionByName(more) if more is not None else links, "links")
+    linked = components(links, scratch, "links").withColumnRenamed("node", "digest")
+    whole = members.filter("n_shingles > 0").groupBy("digest").agg(F.min(value).alias("own")).join(linked, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    smallest = whole.groupBy("root").agg(F.min("own").alias("least"))
+    named = scratch.save(whole.join(smallest, "root").select("digest", "least"), "named")
+    scratch.drop("pivots", "regions", "nodes", "links")
+    return members.join(named, "digest", "left").select("doc_id", "key", "n_shingles", "least")
+
+
+def components_of(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` (doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
+    found = linked_documents(docs, F.col("doc_id"), size, percent)
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, key): the documents, told apart by id and text, that aren't the one of their component that stays.
+
+    That of the smallest id stays (null ids last), of equal ids that of the smallest hash of its text.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    found = linked_documents(docs, place, size, percent).filter("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.d")) & (F.col("key") == F.col("least.k"))
+    return found.filter(~stays).select("doc_id", "key").distinct()
 
 
 #: All pairs that share a shingle, and reachability along the links.
