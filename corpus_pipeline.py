@@ -4,9 +4,16 @@
    letter by letter, go;
 2. quality classifier: documents that it takes for low quality go;
 3. near duplicates (five-word shingles, similarity 0.8): one document of each group stays, the one
-   of the smallest id; of repeated rows one stays;
+   of the smallest id; of repeated rows (equal id and text) one stays; documents without words link
+   with nothing;
 4. mixing: documents appear as often as the schedule takes them, none at all up to twice;
 5. SentencePiece encoding and decoding of every whole text.
+
+Defined cases: null and empty texts go in the first stage, as they hold no letter; a stage that meets
+them all the same keeps or drops them as its operator says.  Null ids, and ids on several texts, are
+rows of their own throughout.  Very long texts are taken whole.  Of equal languages the first by name
+wins, of equal ids the smallest hash of the text stays.  Of an empty table every stage makes an empty
+table.  Other columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -39,13 +46,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "duplicates")
-    found = scratch.save(jaccard.components_of(docs, SHINGLE, SIMILARITY).select("doc_id", "component_id"), "found")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", F.xxhash64("text").alias("__key"))
+    gone = Scratch(spark, "duplicates").save(jaccard.duplicates(docs, SHINGLE, SIMILARITY).select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")), "gone")
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    again = kept.groupBy("doc_id", "__key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    if again.isEmpty():
+        return kept.select("__row.*")
+    twice = again.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
+    one = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return kept.join(twice, same, "left_anti").unionByName(one).select("__row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
