@@ -12,16 +12,21 @@ from tributary.operators.preprocess import of_types
 
 
 def diffusion_delay(log: DataFrame, events=None, unit: str = "m", created: DataFrame | None = None, field: str = "root", drop: str = "global") -> DataFrame:
-    """Whole units of each event since the content was made (field, created_at), or since its first event; then the first row goes, of all (``global``) or ``per_content``."""
+    """Whole units of each event since the content was made (field, created_at), or since its first event; then the first row goes, of all (``global``) or ``per_content``.
+
+    Of rows with equal (ts, seq) one goes."""
     rows = of_types(log, events)
     if created is not None:
         rows = rows.join(created.select(field, "created_at"), field)
         return rows.select(field, "seq", whole_units(F.col("time"), F.col("created_at"), unit).alias("value"))
     own = W.partitionBy(field)
-    rows = rows.withColumn("created_at", F.min("time").over(own))
+    rows = rows.join(rows.groupBy(field).agg(F.min("time").alias("created_at")), field)
     if drop == "global":
         first = of_types(log, events).agg(F.min(F.struct("ts", "seq")).alias("first"))
-        rows = rows.join(F.broadcast(first)).filter(F.struct("ts", "seq") != F.col("first"))
+        marked = rows.join(F.broadcast(first))
+        is_first = F.struct("ts", "seq") == F.col("first")
+        tied = marked.filter(is_first).withColumn("rn", F.row_number().over(W.orderBy(field, "time"))).filter("rn > 1").drop("rn")
+        rows = marked.filter(~is_first).unionByName(tied)
     else:
         rows = rows.withColumn("rn", F.row_number().over(own.orderBy("ts", "seq"))).filter("rn > 1")
     return rows.select(field, "seq", whole_units(F.col("time"), F.col("created_at"), unit).alias("value"))

@@ -65,7 +65,7 @@ def histogram(gt: DataFrame, sim: DataFrame, method: str = "doane", group: list[
     doane = F.when(n > 2, span / (1 + F.log2(n) + F.log2(1 + F.abs("g1") / F.nullif(scale, F.lit(0.0)))))
     width = {"doane": doane, "sturges": sturges, "fd": fd, "auto": F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)}[method]
     stats = stats.withColumn("bins", F.when((span > 0) & (width > 0), F.ceil(span / F.nullif(width, F.lit(0.0)))).otherwise(1).cast("bigint"))
-    wide = rows.join(F.broadcast(stats), group) if group else rows.join(F.broadcast(stats))
+    wide = rows.join(stats, group) if group else rows.join(F.broadcast(stats))
     place = F.when(span > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(span, F.lit(0.0)) * F.col("bins")), F.col("bins") - 1)).otherwise(0).cast("bigint")
     counts = wide.groupBy(*group, place.alias("bin")).agg(F.sum("g").alias("gt"), F.sum("s").alias("sim"))
     every = stats.select(*group, "bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
@@ -80,8 +80,9 @@ def _shares(gt, sim, discrete, method, group, smooth=None):
         rows = histogram(gt, sim, method, group)
     if smooth is not None:
         rows = rows.withColumn("sim", (1 - smooth) * F.col("sim") + smooth)
-    own = W.partitionBy(*(group or []))
-    return rows.select(*(group or []), (F.col("gt") / F.nullif(F.sum("gt").over(own).cast("double"), F.lit(0.0))).alias("p"), (F.col("sim") / F.nullif(F.sum("sim").over(own).cast("double"), F.lit(0.0))).alias("q"))
+    sums = _by(rows, group).agg(F.sum("gt").cast("double").alias("g"), F.sum("sim").cast("double").alias("s"))
+    both = rows.join(sums, group) if group else rows.join(F.broadcast(sums))
+    return both.select(*(group or []), (F.col("gt") / F.nullif(F.col("g"), F.lit(0.0))).alias("p"), (F.col("sim") / F.nullif(F.col("s"), F.lit(0.0))).alias("q"))
 
 
 def kl_divergence(gt: DataFrame, sim: DataFrame, discrete: bool = False, group=None, smooth: float | None = None) -> DataFrame:
@@ -104,19 +105,20 @@ def js_divergence(gt: DataFrame, sim: DataFrame, discrete: bool = False, base: f
 
 
 def _dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact dynamic time warping with absolute distance, one row of the table at a time."""
-    if not len(a) or not len(b):
+    """Exact dynamic time warping with absolute distance, one antidiagonal of the table at a time."""
+    n, m = len(a), len(b)
+    if not n or not m:
         return float("nan")
-    row = np.cumsum(np.abs(a[0] - b))
-    for x in a[1:]:
-        cost = np.abs(x - b)
-        new = np.empty_like(row)
-        new[0] = row[0] + cost[0]
-        enter = np.minimum(row[1:], row[:-1]) + cost[1:]
-        for j in range(1, len(b)):
-            new[j] = min(enter[j - 1], new[j - 1] + cost[j])
-        row = new
-    return float(row[-1])
+    inf = np.inf
+    two, one = np.full(n + 1, inf), np.full(n + 1, inf)  # by row, from 1; row 0 is the border
+    two[0] = 0.0  # the corner, before the first diagonal
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n - 1, d)
+        i = np.arange(lo, hi + 1)
+        new = np.full(n + 1, inf)
+        new[i + 1] = np.abs(a[i] - b[d - i]) + np.minimum(np.minimum(one[i], one[i + 1]), two[i])
+        two, one = one, new
+    return float(one[n])
 
 
 def dtw(gt: DataFrame, sim: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -191,6 +193,38 @@ def pearson(gt: DataFrame, sim: DataFrame, how: str = "inner", fill=0, group=Non
     return _by(join(gt, sim, how, fill, group), group).agg((F.covar_pop("value_gt", "value_sim") / F.nullif(spread, F.lit(0.0))).alias("value"))
 
 
+def pearson_test(gt: DataFrame, sim: DataFrame, how: str = "inner", fill=0, group=None) -> DataFrame:
+    """``value``, the correlation, and ``p_value``, the chance of one as large in absolute value between independent normal variables; null below three rows."""
+    rows = join(gt, sim, how, fill, group)
+    spread = F.stddev_pop("value_gt") * F.stddev_pop("value_sim")
+    found = _by(rows, group).agg((F.covar_pop("value_gt", "value_sim") / F.nullif(spread, F.lit(0.0))).alias("value"), F.count(F.lit(1)).alias("n"))
+
+    @F.pandas_udf("double")
+    def chance(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_chance(x, int(k)) if x == x and k > 2 else None for x, k in zip(r, n)], dtype="float64")
+
+    return found.select(*(group or []), "value", F.when(F.col("value").isNotNull() & (F.col("n") > 2), chance(F.coalesce("value", F.lit(0.0)), "n")).alias("p_value"))
+
+
+def correlation_chance(r: float, n: int) -> float:
+    """Two-sided: the regularised incomplete beta function of (n - 2) / 2 and 1 / 2 at 1 - r^2, by its continued fraction."""
+    x, a, b = min(max(1.0 - r * r, 0.0), 1.0), (n - 2) / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _fraction(1 - x, b, a) / b
+
+
+def _fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta function, from a depth at which it has long settled."""
+    value = 1.0
+    for k in range(200 + 4 * math.isqrt(int(a + b) + 1), 0, -1):
+        m = k // 2
+        term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) if k % 2 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1.0 + term / value
+    return 1.0 / value
+
+
 def ks_test(gt: DataFrame, sim: DataFrame, group=None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic; the windows run over distinct values."""
     group = group or []

@@ -95,38 +95,49 @@ def clustering(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
     return nodes.agg(F.avg(F.when(k >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).otherwise(0.0)).alias("value"))
 
 
-def mean_path(edges: DataFrame, sources: int | None = None, seed: int = 1, longest: int = 1000) -> DataFrame:
-    """Mean shortest path over reachable pairs, by breadth-first search from all nodes or from ``sources`` of them, a table a level."""
+def mean_path(edges: DataFrame, sources: int | None = None, seed: int = 1) -> DataFrame:
+    """Mean shortest path over reachable pairs, by breadth-first search from all nodes (exact) or from ``sources`` of them (an estimate).
+
+    The search ends when no origin reaches a new node.  In a graph without directions a new node isn't on the two levels before,
+    so that only these are looked at.
+    """
     scratch = Scratch(edges.sparkSession, "paths")
     e = scratch.save(both_ways(simple(edges)), "edges")
     nodes = e.select("src").distinct()
     if sources:
         nodes = nodes.orderBy(F.xxhash64(F.lit(seed), "src")).limit(sources)
     frontier = scratch.save(nodes.select(F.col("src").alias("origin"), F.col("src").alias("node")), "level0")
-    seen, pairs, total = frontier, 0, 0
-    for level in range(1, longest):
+    before, pairs, total, level = None, 0, 0, 0
+    while True:
+        level += 1
+        seen = frontier if before is None else frontier.unionByName(before)
         step = frontier.join(e.withColumnRenamed("src", "node"), "node").select("origin", F.col("dst").alias("node")).distinct()
-        frontier = scratch.save(step.join(seen, ["origin", "node"], "left_anti"), f"level{level}")
+        before, frontier = frontier, scratch.save(step.join(seen, ["origin", "node"], "left_anti"), f"level{level}")
+        if level > 2:
+            scratch.drop(f"level{level - 3}")
         n = frontier.count()
         if not n:
             break
         pairs, total = pairs + n, total + n * level
-        seen = seen.unionByName(frontier)
     value = total / pairs if pairs else None
     return edges.sparkSession.range(1).select(F.lit(value).cast("double").alias("value"))
 
 
-def louvain(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by moves to the neighbouring community of largest modularity gain; half of the nodes move in a round, by hash.
-
-    The first phase of the Louvain method as joins and aggregates; no task holds the graph.
-    """
-    scratch = Scratch(edges.sparkSession, "louvain")
-    links = scratch.save(both_ways(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")), "links")
+def _settled(links: DataFrame, m2: float, scratch: Scratch, name: str, rounds: int) -> DataFrame:
+    """(node, community): rounds of moves over ``links`` (src, dst, w, both ways), until the modularity no longer grows; the best is returned."""
     k = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    m2 = float(links.agg(F.coalesce(F.sum("w"), F.lit(1.0))).first()[0])
-    now = scratch.save(k.select("node", F.col("node").alias("community"), "k"), "round0")
-    for r in range(1, rounds + 1):
+    now = scratch.save(k.select("node", F.col("node").alias("community"), "k"), f"{name}round0")
+    best, best_q, r = now, None, 0
+    while r < rounds:
+        inner = links.join(now.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(now.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+        inside = inner.filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        squares = now.groupBy("community").agg(F.sum("k").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0))).first()[0]
+        q = inside / m2 - squares / m2**2
+        if best_q is not None and q <= best_q + 1e-9 and r % 2 == 0:
+            break
+        if best_q is None or q > best_q:
+            best, best_q = now, q
+        r += 1
         total = now.groupBy("community").agg(F.sum("k").alias("total"))
         near = links.filter("src != dst").join(now.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
         own = now.select("node", "community", F.lit(0.0).alias("w"))
@@ -134,11 +145,32 @@ def louvain(edges: DataFrame, rounds: int = 8) -> DataFrame:
             now.select("node", F.col("community").alias("own"), "k"), "node")
         rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - rest * F.col("k") / m2
-        best = choice.groupBy("node").agg(F.max_by("community", F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("stay"), F.col("community"))).alias("best"))
-        moved = now.join(best, "node", "left").select(
+        top = choice.groupBy("node").agg(F.max_by("community", F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("stay"), F.col("community"))).alias("best"))
+        moved = now.join(top, "node", "left").select(
             "node", F.when(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community"), "k")
-        now = scratch.save(moved, f"round{r}")
-    return now.select("node", "community")
+        now = scratch.save(moved, f"{name}round{r}")
+    return best.select("node", "community")
+
+
+def louvain(edges: DataFrame, rounds: int = 12, levels: int = 16) -> DataFrame:
+    """(node, community) by the Louvain method as joins and aggregates; no task holds the graph.
+
+    On each level nodes move to the neighbouring community of largest modularity gain, half of them in a round, by hash, until
+    the modularity no longer grows; then communities become the nodes of the next level, until none merge.
+    """
+    scratch = Scratch(edges.sparkSession, "louvain")
+    links = scratch.save(both_ways(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")), "links0")
+    m2 = float(links.agg(F.coalesce(F.sum("w"), F.lit(1.0))).first()[0])
+    parts = None
+    for level in range(levels):
+        found = scratch.save(_settled(links, m2, scratch, f"level{level}", rounds), f"found{level}")
+        parts = found if parts is None else scratch.save(
+            parts.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")), f"parts{level}")
+        if found.filter("node != community").isEmpty():
+            break
+        a, b = found.select(F.col("node").alias("src"), F.col("community").alias("a")), found.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+        links = scratch.save(links.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), f"links{level + 1}")
+    return parts
 
 
 def modularity(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:

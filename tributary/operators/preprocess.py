@@ -1,7 +1,8 @@
 """Raw logs to the canonical log: event, user, content, parent, root, ts, time and optional columns.
 
 ``ts`` is the true time and orders events, ``time`` is floored to the hour and
-is what measurements see.  ``seq`` breaks ties of ``ts``.
+is what measurements see.  ``seq`` breaks ties of ``ts``: a hash of the whole row,
+so that only equal rows tie, which measurements can't tell apart.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def canonical(raw: DataFrame, platform: str, events: list[str] | None = None) ->
         log = log.withColumn("merged", truth(F.col("merged")))
     if "root" not in log.columns:
         log = log.withColumn("root", F.col("content"))
-    return log.withColumn("time", F.date_trunc("hour", "ts")).withColumn("seq", F.col("content"))
+    return log.withColumn("time", F.date_trunc("hour", "ts")).withColumn("seq", F.xxhash64(*log.columns))
 
 
 def truth(c: Column) -> Column:

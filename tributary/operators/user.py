@@ -67,7 +67,7 @@ def diffusion_delay(log: DataFrame, events=None, unit: str = "h", created: DataF
     """Whole units of each event since the account's creation (user, created_at), or since the user's first event."""
     rows = of_types(log, events)
     if created is None:
-        rows = rows.withColumn("created_at", F.min("time").over(W.partitionBy("user")))
+        rows = rows.join(rows.groupBy("user").agg(F.min("time").alias("created_at")), "user")
     else:
         rows = rows.join(created.select("user", "created_at"), "user")
     return rows.select("user", "seq", whole_units(F.col("time"), F.col("created_at"), unit).alias("value"))

@@ -36,7 +36,7 @@ def github_positional(spark: SparkSession, path: str) -> DataFrame:
     df = df.drop("_id")
     names = ["ts", "event", "user", "content", "action", "merged"][: len(df.columns)]
     df = _blank(df.toDF(*names))
-    return df.withColumn("ts", coerce_time(F.col("ts"), "string")).withColumn("time", F.date_trunc("hour", "ts")).withColumn("root", F.col("content")).withColumn("seq", F.col("content"))
+    return df.withColumn("ts", coerce_time(F.col("ts"), "string")).withColumn("time", F.date_trunc("hour", "ts")).withColumn("root", F.col("content")).withColumn("seq", F.xxhash64(*names))
 
 
 def node_list(spark: SparkSession, path: str | None, missing: list[str] | None = None) -> DataFrame | list[str]:
