@@ -66,6 +66,13 @@ _JS = "SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END
 _KL = "SELECT round(sum(CASE WHEN p <= 0 THEN 0 WHEN q <= 0 THEN 'Infinity'::DOUBLE ELSE p * ln(p / q) END), 6)::DOUBLE AS value FROM p"
 _FF = """, f AS (SELECT r, k, last_value(g IGNORE NULLS) OVER w AS g, last_value(s IGNORE NULLS) OVER w AS s FROM j WINDOW w AS (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING))
 """
+#: The table's cells one after the other, in a list.
+_DTW = """, l AS (SELECT r AS root, list(coalesce(g, 0) ORDER BY k) AS a, list(coalesce(s, 0) ORDER BY k) AS b, count(*) AS n FROM j GROUP BY r),
+w AS (SELECT root, a, b, n, [abs(a[1] - b[1])] AS st FROM l
+  UNION ALL SELECT root, a, b, n, list_append(st, abs(a[len(st) // n + 1] - b[len(st) % n + 1]) + least(
+    CASE WHEN len(st) % n > 0 THEN st[len(st)] ELSE 1e300 END, CASE WHEN len(st) >= n THEN st[len(st) - n + 1] ELSE 1e300 END,
+    CASE WHEN len(st) % n > 0 AND len(st) >= n THEN st[len(st) - n] ELSE 1e300 END)) FROM w WHERE len(st) < n * n)
+SELECT root, round(st[n * n], 6)::DOUBLE AS value FROM w WHERE len(st) = n * n"""
 _RBO = _H + """, a AS (SELECT {p} c, row_number() OVER ({w} ORDER BY n DESC, c) AS i FROM (SELECT {p} c, count(*) AS n FROM g GROUP BY ALL)),
 b AS (SELECT {p} c, row_number() OVER ({w} ORDER BY n DESC, c) AS i FROM (SELECT {p} c, count(*) AS n FROM s GROUP BY ALL))
 """
@@ -108,6 +115,7 @@ CATALOG = {
     "m_ks": (_on(_delays, m.ks_test), _H + """, a AS (SELECT trunc((epoch(t) - epoch(min(t) OVER (PARTITION BY u))) / 3600) AS v FROM g), b AS (SELECT trunc((epoch(t) - epoch(min(t) OVER (PARTITION BY u))) / 3600) AS v FROM s),
         x AS (SELECT DISTINCT v FROM (SELECT v FROM a UNION ALL SELECT v FROM b))
         SELECT round(max(abs((SELECT count(*) FROM a WHERE a.v <= x.v) / (SELECT count(*) FROM a) - (SELECT count(*) FROM b WHERE b.v <= x.v) / (SELECT count(*) FROM b))), 6)::DOUBLE AS value FROM x"""),
-    "m_dtw": (_on(_days, lambda g, s: m.dtw(g, s, ["root"])), None),
+    "m_dtw": (_on(_days, lambda g, s: m.dtw(g, s, ["root"])), _D.replace("WITH ", "WITH RECURSIVE ", 1) + _DTW),
+    "m_pearson_test": (_on(_users, lambda g, s: m.pearson_test(g, s).select("value")), _U + "SELECT round(corr(a.v, b.v), 6)::DOUBLE AS value FROM a JOIN b USING (k)"),
     "m_plot_ready": (_on(_users, m.plot_ready), _U + 'SELECT coalesce(a.k, b.k) AS "user", coalesce(a.v, 0) AS "Ground Truth", coalesce(b.v, 0) AS "Simulation" FROM a FULL JOIN b ON a.k = b.k'),
 }

@@ -48,6 +48,9 @@ CATALOG = {
     "net_components": (lambda s, d: m.number_of_components(_reply(s, d)), _E + _COMP),
     "net_clustering": (lambda s, d: _six(m.clustering(_reply(s, d))), _E + _CLUSTER),
     "net_mean_path": (lambda s, d: _six(m.mean_path(_reply(s, d))), _E + _PATHS),
+    "net_modularity_given": (lambda s, d: _six(m.modularity(_reply(s, d), m.degrees(_reply(s, d)).select("node", (F.col("node").cast("bigint") % 7).alias("community")))), _E + """
+        , k AS (SELECT node::BIGINT % 7 AS g, sum(degree)::DOUBLE AS k FROM deg GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS m, count(*) FILTER (src::BIGINT % 7 = dst::BIGINT % 7) AS i FROM e)
+        SELECT round(any_value(i / m) - sum(k * k) / any_value(4 * m * m), 6)::DOUBLE AS value FROM k, t"""),
     "net_modularity": (lambda s, d: _six(m.modularity(_reply(s, d))), None),
     "degree_distribution": (lambda s, d: m.degrees(_reply(s, d)), _E + " SELECT node, degree FROM deg"),
     "projection_density": (lambda s, d: _six(m.degree_summary(_projection(s, d)).select(F.col("density").alias("value"))), _P + _N.format(x="round(m2 / (n * (n - 1)), 6)")),
