@@ -108,7 +108,7 @@ def test_components_equal_brute_force(spark, size, percent):
     assert sorted(collected(jaccard.components_of(df, size, percent), "doc_id", "n_shingles", "component_id")) == brute_components(rows, size, percent)
 
 
-@pytest.mark.parametrize("heavy, rounds, shrunk", [(600, 4, 0.7), (300, 2, 2.0)])
+@pytest.mark.parametrize("heavy, rounds, shrunk", [(600, 4, 0.7), (2000, 2, 2.0)])
 def test_heavy_cells_are_taken_apart_exactly(spark, monkeypatch, heavy, rounds, shrunk):
     """Near copies of several kinds that share passages, so that regions are parted by documents, and joined as pairs of blocks."""
     for k, v in {"HEAVY": heavy, "ROUNDS": rounds, "SHRUNK": shrunk, "PIVOTS": 3}.items():

@@ -23,16 +23,16 @@ Members known to be connected aren't compared again.  Nothing is approximate.
 
 Regions are gathered so that a set travels once: sets that share a pivot,
 directly or over others, form a cell, which one task joins as far as it has at
-most HEAVY shingles.  A heavier cell is taken apart into its regions, and a
-heavier region by whole-document pivots over the cluster, as above but with
-tables: K members are pivots, blocks of the region meet them, every member is
-copied to the sub-regions that its window reaches, and those are light, or
-parted again by other pivots, or, where they don't shrink, joined as pairs of
-blocks.  Members that link to one pivot are of one class and needn't meet
-again, so that a group of near copies takes time in proportion to its size;
-only blocks that hold several classes or none meet all others.  Equal sets are
-one class from the start and are never paired.  All tables between stages are
-written to the shared folder.
+most HEAVY shingles.  A heavier cell is parted by whole-document pivots over
+the cluster, as above but with tables: some of its members are pivots, blocks
+of the cell meet them, every member is copied to the regions that its window
+reaches, and those are light, or parted again by other pivots.  Members that
+link to one pivot are of one class and needn't meet again, so that a group of
+near copies takes time in proportion to its size.  Where regions don't shrink,
+what is left of the cell goes by its shingles' regions or by pairs of blocks,
+whichever moves less; regions and blocks of a single class are left out.
+Equal sets are one class from the start and are never paired.  All tables
+between stages are written to the shared folder.
 
 Defined cases: null texts and texts without words have the empty set, which
 links with nothing; repeated rows and equal texts link; repeated ids are rows
@@ -353,55 +353,87 @@ def _weighed(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("w"), ((F.count("class") == F.count(F.lit(1))) & F.min("class").eqNullSafe(F.max("class"))).alias("uniform"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Cells of regions that don't shrink: pairs of blocks, but those whose members are all of one class."""
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, digest, class, block), the members of one class side by side, and the pairs of blocks (region, i, j, w) that have to meet."""
     half = HEAVY // 2
     by = F.coalesce(F.hex("class"), F.lit(""))
-    rows = rows.withColumn("__by", by).withColumn("__bucket", F.when(F.col("__by") == "", -1).otherwise(F.conv(F.substring("__by", 1, 2), 16, 10).cast("int")) * 64 + F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int"))
-    laid = running(rows, ["region"], "__bucket", ["__by", "digest"], weight="n").withColumn("block", F.expr(f"__before div {half}")).select("region", "digest", "class", "block")
-    own = laid.groupBy("region", "block").agg(F.when((F.count("class") == F.count(F.lit(1))) & (F.min("class") == F.max("class")), F.min("class")).alias("one"))
-    a, b = own.select("region", F.col("block").alias("i"), F.col("one").alias("one_i")), own.select("region", F.col("block").alias("j"), F.col("one").alias("one_j"))
-    pairs = a.join(b, "region").filter("i <= j and not coalesce(one_i = one_j, false)").withColumn("cell", F.concat_ws(":", "region", "i", "j"))
+    place = F.when(F.col("__by") == "", -1).otherwise(F.conv(F.substring("__by", 1, 2), 16, 10).cast("int"))
+    rows = rows.withColumn("__by", by).withColumn("__bucket", place * 64 + F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int"))
+    laid = running(rows, ["region"], "__bucket", ["__by", "digest"], weight="n").select("region", "digest", "class", "n", F.expr(f"__before div {half}").alias("block"))
+    own = laid.groupBy("region", "block").agg(
+        F.sum("n").alias("w"), F.when((F.count("class") == F.count(F.lit(1))) & (F.min("class") == F.max("class")), F.min("class")).alias("one"))
+    named = lambda i: own.select("region", F.col("block").alias(i), F.col("w").alias(f"w{i}"), F.col("one").alias(f"one{i}"))
+    pairs = named("i").join(named("j"), "region").filter("i <= j and not coalesce(onei = onej, false)")
+    return laid, pairs.select("region", "i", "j", F.expr("if(i = j, wi, wi + wj)").alias("w"))
+
+
+def _paired(laid: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cell, digest, class, side) of the pairs of blocks."""
+    pairs = pairs.withColumn("cell", F.concat_ws(":", "region", "i", "j"))
     sides = pairs.select("region", "cell", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.filter("i < j").select("region", "cell", F.col("j").alias("block"), F.lit(1).alias("side")))
     return laid.join(sides, ["region", "block"]).select("cell", "digest", "class", "side")
 
 
+def _parted(rows: DataFrame, fetch: Callable, percent: int, scratch: Scratch, r: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of document pivots over ``rows`` (region, digest, n, class, w): the links to pivots, the regions (region, digest, n, class, w)
+    of what shrinks, and the rows of what doesn't, both with the classes that are known now and without what is of one class."""
+    full = scratch.save(rows.join(fetch(rows.select("digest").distinct()), "digest"), f"heavy{r}")
+    first = W.partitionBy("region").orderBy(F.xxhash64("digest", F.lit(r)), "digest")
+    chosen = full.select("region", "digest", "w").withColumn("k", F.row_number().over(first) - 1).filter(F.col("k") < PIVOTS)
+    blocks = F.expr(f"w div {max(1, HEAVY // 4)} + 1")
+    chosen = chosen.join(full.select("region", "digest", "shingles"), ["region", "digest"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    chosen = chosen.select(*[F.col(c).alias(c) for c in ("region", "block", "k", "digest", "shingles")])  # both sides come from one table
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), blocks)).select("region", "block", "digest", "n", "class", "shingles")
+    near = scratch.save(dealt.groupBy("region", "block").cogroup(chosen.groupBy("region", "block")).applyInPandas(_near(percent), NEAR), f"near{r}")
+    scratch.drop(f"heavy{r}")
+    links = near.filter("core is not null and core != digest").select(F.col("digest").alias("a"), F.col("core").alias("b")).distinct()
+    members = near.filter("ks is not null")
+    sub = members.select(F.col("region").alias("parent"), "digest", "n", "class", F.explode("ks").alias("k")).withColumn("region", F.concat_ws("/", "parent", "k"))
+    weights = sub.groupBy("parent", "region").agg(F.sum("n").alias("w"))
+    whole = members.groupBy(F.col("region").alias("parent")).agg(F.sum("n").alias("all"))
+    shrunk = scratch.save(weights.groupBy("parent").agg(F.max("w").alias("most")).join(whole, "parent").select("parent", (F.col("most") <= SHRUNK * F.col("all")).alias("shrinks")), f"shrunk{r}")
+    smaller = sub.join(shrunk.filter("shrinks"), "parent").select("region", "digest", "n", "class")
+    same = members.join(shrunk.filter("not shrinks").select(F.col("parent").alias("region")), "region").select("region", "digest", "n", "class")
+    mixed = lambda df, name: scratch.save(df.join(_weighed(df), "region").filter("not uniform").drop("uniform"), name)
+    return links, mixed(smaller, f"smaller{r}"), mixed(same, f"same{r}")
+
+
 def _cells(pivots: DataFrame, roots: DataFrame, fetch: Callable, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(cell, digest, class, side) of all cells, and the links (a, b) that were found on the way."""
+    none = F.lit(None).cast("binary")
     node = pivots.select("digest", "n").distinct().join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    node = scratch.save(node.withColumn("root", F.coalesce("root", "digest")), "nodes")
-    heavy = node.groupBy("root").agg(F.sum("n").alias("__w")).filter(F.col("__w") > HEAVY).select("root")
-    plain = lambda df, cell: df.select(cell.alias("cell"), "digest", F.lit(None).cast("binary").alias("class"), F.lit(0).alias("side"))
-    cells = [plain(node.join(heavy, "root", "left_anti"), F.hex("root"))]
-    apart = node.join(heavy, "root", "left_semi").select("digest")
-    if apart.isEmpty():
-        return cells[0], None
-    rows = pivots.join(apart, "digest", "left_semi").select(F.hex("pivot").alias("region"), "digest", "n", F.lit(None).cast("binary").alias("class"))
-    rows = scratch.save(rows.join(_weighed(rows).select("region", "w"), "region"), "apart")
-    cells.append(plain(rows.filter(F.col("w") <= HEAVY), F.col("region")))
-    rows, links = rows.filter(F.col("w") > HEAVY), []
+    node = node.select(F.hex(F.coalesce("root", "digest")).alias("region"), "digest", "n", none.alias("class"))
+    node = scratch.save(node.join(node.groupBy("region").agg(F.sum("n").alias("w")), "region"), "nodes")
+    light = lambda df: df.filter(F.col("w") <= HEAVY).select(F.col("region").alias("cell"), "digest", "class", F.lit(0).alias("side"))
+    rows, cells, links, left = node.filter(F.col("w") > HEAVY), [light(node)], [], []
     for r in range(ROUNDS):
         if rows.isEmpty():
             break
-        rows = scratch.save(rows.join(fetch(rows.select("digest").distinct()), "digest"), f"heavy{r}")
-        first = W.partitionBy("region").orderBy(F.xxhash64("digest", F.lit(r)), "digest")
-        chosen = rows.select("region", "digest", "w").withColumn("k", F.row_number().over(first) - 1).filter(F.col("k") < PIVOTS)
-        blocks = F.expr(f"w div {HEAVY // 4} + 1")
-        chosen = chosen.join(rows.select("region", "digest", "shingles"), ["region", "digest"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), blocks))
-        chosen = chosen.select(*[F.col(c).alias(c) for c in ("region", "block", "k", "digest", "shingles")])  # both sides come from one table
-        near = scratch.save(dealt.select("region", "block", "digest", "n", "class", "shingles").groupBy("region", "block").cogroup(
-            chosen.groupBy("region", "block")).applyInPandas(_near(percent), NEAR), f"near{r}")
-        links.append(near.filter("core is not null and core != digest").select(F.col("digest").alias("a"), F.col("core").alias("b")).distinct())
-        sub = near.join(rows.select("region", "w").distinct(), "region").select(
-            "region", "w", "digest", "n", "class", F.explode("ks").alias("k")).select(F.concat_ws("/", "region", "k").alias("region"), F.col("w").alias("before"), "digest", "n", "class")
-        sub = scratch.save(sub.join(_weighed(sub), "region").filter("not uniform"), f"parts{r}")
-        cells.append(sub.filter(F.col("w") <= HEAVY).select(F.col("region").alias("cell"), "digest", "class", F.lit(0).alias("side")))
-        still = sub.filter(F.col("w") > HEAVY)
-        shrunk = F.col("w") <= SHRUNK * F.col("before")
-        cells.append(_blocks(still.filter(~shrunk) if r + 1 < ROUNDS else still))
-        rows = still.filter(shrunk if r + 1 < ROUNDS else F.lit(False)).drop("before", "uniform")
+        found, smaller, same = _parted(rows, fetch, percent, scratch, r)
+        links.append(found)
+        cells.append(light(smaller))
+        cells.append(light(same))
+        left.append(same.filter(F.col("w") > HEAVY))
+        rows = smaller.filter(F.col("w") > HEAVY)
+    if links:
+        left.append(rows)
+        rest = left[0]
+        for x in left[1:]:
+            rest = rest.unionByName(x)
+        laid, pairs = _blocks(rest)
+        laid, pairs = scratch.save(laid, "laid"), scratch.save(pairs, "pairs")
+        by_shingle = rest.join(pivots.select("digest", "pivot"), "digest").select(F.col("region").alias("parent"), F.concat_ws("#", "region", F.hex("pivot")).alias("region"), "digest", "n", "class")
+        weights = by_shingle.groupBy("parent", "region").agg(
+            F.sum("n").alias("w"), ((F.count("class") == F.count(F.lit(1))) & F.min("class").eqNullSafe(F.max("class"))).alias("uniform")).filter("not uniform")
+        weights = scratch.save(weights, "weights")
+        cost = pairs.groupBy("region").agg(F.sum("w").alias("c")).join(weights.groupBy(F.col("parent").alias("region")).agg(F.sum("w").alias("s")), "region", "left")
+        choice = scratch.save(cost.select("region", F.coalesce(F.col("s") < F.col("c"), F.lit(False)).alias("shingles")), "choice")
+        cells.append(_paired(laid, pairs.join(choice.filter("not shingles").select("region"), "region")))
+        chosen = weights.join(choice.filter("shingles").select(F.col("region").alias("parent")), "parent").select("region", "w")
+        parts = by_shingle.drop("parent").join(chosen, "region")
+        cells.append(light(parts))
+        cells.append(_paired(*_blocks(parts.filter(F.col("w") > HEAVY).drop("w"))))
     out, found = cells[0], links[0] if links else None
     for c in cells[1:]:
         out = out.unionByName(c)
