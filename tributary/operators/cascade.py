@@ -1,12 +1,14 @@
 """Information cascades: rooted trees of (node, parent, root, user, ts, seq), the root's parent being itself.
 
-Depths and ancestors come from doubling joins, so the rounds grow with the
-logarithm of the depth.  Series over time or depth are windows within the
-cascade; none of them compares all pairs of nodes.
+Depths and sizes of subtrees come from doubling joins, so the rounds grow with
+the logarithm of the depth.  Series over time or depth are windows within the
+cascade; none of them lists pairs of nodes, or of nodes and their ancestors.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,23 +66,6 @@ def depths(log: DataFrame, sizes: bool = False) -> DataFrame:
     return log.join(_climbed(log, sizes), ["root", "node"])
 
 
-def ancestors(log: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, node, above, steps) for every proper ancestor of every node, steps from 1."""
-    scratch = Scratch(log.sparkSession, "ancestors")
-    pairs = scratch.save(log.filter("node != parent").select("root", "node", F.col("parent").alias("above"), F.lit(1).cast("bigint").alias("steps")), "pairs0")
-    reach = 1
-    for r in range(1, rounds):
-        ends = pairs.filter(F.col("steps") == reach).select("root", "node", F.col("above").alias("mid"))
-        more = ends.join(pairs.select("root", F.col("node").alias("mid"), "above", "steps"), ["root", "mid"]).select(
-            "root", "node", "above", (F.col("steps") + reach).alias("steps"))
-        pairs = scratch.save(pairs.unionByName(more), f"pairs{r}")
-        scratch.drop(f"pairs{r - 1}")
-        reach *= 2
-        if pairs.filter(F.col("steps") == reach).isEmpty():
-            return pairs
-    raise RuntimeError("parents form a cycle")
-
-
 def summary(log: DataFrame) -> DataFrame:
     """depth, size, breadth, structural virality, unique users and lifetime in days of each cascade.
 
@@ -103,20 +88,92 @@ def summary(log: DataFrame) -> DataFrame:
         "unique_users", F.when(some, F.col("lifetime")).otherwise(0.0).alias("lifetime"))
 
 
+def distances_to_earlier(parent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of each node of one tree the sum of its distances to all nodes of lower rank; ``parent`` is an index, -1 at the top.
+
+    By centroids: removing one leaves parts of at most half the size, and ways that it lies on are the ways to it, less
+    those that stay within one of the parts.  Takes n log n steps whatever the tree's shape is.
+    """
+    n = len(parent)
+    near: list[list[int]] = [[] for _ in range(n)]
+    for i, p in enumerate(parent.tolist()):
+        if p >= 0:
+            near[i].append(p)
+            near[p].append(i)
+    add, gone = np.zeros(n, np.int64), [False] * n
+    tops = np.flatnonzero(parent < 0).tolist()
+    while tops:
+        top = tops.pop()
+        order, above = [top], {top: -1}
+        for x in order:
+            for y in near[x]:
+                if not gone[y] and y != above[x]:
+                    above[y] = x
+                    order.append(y)
+        if len(order) == 1:
+            gone[top] = True
+            continue
+        size = dict.fromkeys(order, 1)
+        for x in reversed(order[1:]):
+            size[above[x]] += size[x]
+        centre = top
+        while True:
+            heavy = next((y for y in near[centre] if not gone[y] and above.get(y) == centre and 2 * size[y] > len(order)), None)
+            if heavy is None:
+                break
+            centre = heavy
+        nodes, depth, branch = [centre], [0], [-1]
+        from_ = {centre: -1}
+        for k in range(len(order)):
+            x = nodes[k]
+            for y in near[x]:
+                if not gone[y] and y != from_[x]:
+                    from_[y] = x
+                    nodes.append(y)
+                    depth.append(depth[k] + 1)
+                    branch.append(y if k == 0 else branch[k])
+        at, d, part = np.array(nodes), np.array(depth), np.array(branch)
+        add[at] += _before(np.zeros(len(at), np.int64), rank[at], d)
+        add[at] -= _before(part, rank[at], d)
+        gone[centre] = True
+        tops += [y for y in near[centre] if not gone[y]]
+    return add
+
+
+def _before(group: np.ndarray, rank: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sums of d(x) + d(y) over the y of lower rank in the group of x."""
+    order = np.lexsort((rank, group))
+    g, x = group[order], d[order]
+    first = np.concatenate([[True], g[1:] != g[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
+    sums = np.concatenate([[0], np.cumsum(x)])
+    out = np.empty(len(g), np.int64)
+    out[order] = (np.arange(len(g)) - start) * x + sums[:-1] - sums[start]
+    return out
+
+
+def _added(f: pd.DataFrame) -> pd.DataFrame:
+    """Of one cascade: nodes that don't lead to the root add nothing."""
+    f = f[f["depth"] >= 0].drop_duplicates("node").reset_index(drop=True)
+    place = pd.Series(f.index, f["node"])
+    parent = np.where(f["node"] == f["parent"], -1, place.reindex(f["parent"]).fillna(-1).to_numpy(np.int64))
+    parent[(f["node"] == f["root"]).to_numpy()] = -1
+    return pd.DataFrame({"root": f["root"], "node": f["node"], "add": distances_to_earlier(parent, f["place"].to_numpy(np.int64))})
+
+
 def _prefixes(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Each row with the measures of its cascade up to it; parents have to come before their children."""
+    """Each row with the measures of its cascade up to it; parents have to come before their children.
+
+    A cascade's tree (ids, parents and places in the order) meets in one task, which takes n log n steps of it.
+    """
     own = W.partitionBy("root").orderBy(*order)
     upto = own.rowsBetween(W.unboundedPreceding, 0)
-    before = own.rowsBetween(W.unboundedPreceding, -1)
     first = F.row_number().over(W.partitionBy("root", "user").orderBy(*order)) == 1
-    r = rows.withColumn("first", first.cast("bigint")).withColumn("rank", F.row_number().over(W.partitionBy("root", "depth").orderBy(*order)))
-    # distances of a new leaf to all earlier nodes: both depths less twice the depth of the meeting point, which is the number of shared lines
-    up = ancestors(rows).select("root", "node", "above").unionByName(rows.select("root", "node", F.col("node").alias("above"))).filter("above != root")
-    timed = up.join(rows.select("root", "node", *order), ["root", "node"])
-    shared = timed.withColumn("earlier", F.row_number().over(W.partitionBy("root", "above").orderBy(*order)) - 1).groupBy("root", "node").agg(F.sum("earlier").alias("shared"))
-    r = r.join(shared, ["root", "node"], "left")
-    n0 = F.count(F.lit(1)).over(own) - 1
-    r = r.withColumn("add", F.coalesce(F.sum("depth").over(before), F.lit(0)) + n0 * F.col("depth") - 2 * F.coalesce("shared", F.lit(0)))
+    r = Scratch(rows.sparkSession, "prefixes").save(rows.withColumn("first", first.cast("bigint")).withColumn(
+        "rank", F.row_number().over(W.partitionBy("root", "depth").orderBy(*order))).withColumn("place", F.row_number().over(own)), "rows")
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("root", "node"))
+    added = r.select("root", "node", "parent", "depth", "place").groupBy("root").applyInPandas(_added, f"{kind}, add bigint")
+    r = r.join(added.select(F.col("root").alias("root"), F.col("node").alias("node"), "add"), ["root", "node"], "left").fillna(0, ["add"])
     r = r.withColumn("size", F.row_number().over(own)).withColumn("wiener", F.sum("add").over(upto).cast("double"))
     alone = F.col("size") == 1
     n = F.col("size").cast("double")
