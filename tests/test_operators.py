@@ -239,6 +239,84 @@ def test_bootstrap_fills_the_period(spark):
     assert ref.shifted(log, "2023-11-01", "2023-11-02", "2024-01-01", "2024-02-01").count() == 0
 
 
+def test_dtw_and_chances_of_correlations():
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 1), (1, 6), (9, 4), (15, 15)):
+        a, b = rng.normal(size=n), rng.normal(size=k)
+        d = np.full((n + 1, k + 1), np.inf)
+        d[0, 0] = 0
+        for i in range(n):
+            for j in range(k):
+                d[i + 1, j + 1] = abs(a[i] - b[j]) + min(d[i, j], d[i, j + 1], d[i + 1, j])
+        assert metrics._dtw(a, b) == pytest.approx(d[n, k])
+    for r, n in ((0.5, 10), (0.1, 5), (-0.9, 30), (0.3, 100), (0.97, 3)):  # by the density of Student's t
+        t, df = abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2
+        x = np.linspace(0, math.atan(t / math.sqrt(df)), 100_001)
+        inside = np.trapezoid(np.cos(x) ** (df - 1), x) * 2 * math.gamma((df + 1) / 2) / (math.sqrt(math.pi) * math.gamma(df / 2))
+        assert metrics.correlation_chance(r, n) == pytest.approx(1 - inside, rel=1e-4)
+    assert metrics.correlation_chance(1.0, 5) == 0 and metrics.correlation_chance(0.0, 5) == 1
+
+
+def test_sums_of_distances_to_earlier_nodes():
+    rng = random.Random(1)
+    for n in (1, 2, 9, 40):
+        parent = [-1] + [rng.randrange(i) if rng.random() < 0.5 else i - 1 for i in range(1, n)]
+        up = lambda i: [i] if parent[i] < 0 else [i, *up(parent[i])]  # noqa: E731, B023
+        apart = lambda i, j: len(set(up(i)) ^ set(up(j)))  # noqa: E731, B023
+        rank = rng.sample(range(n), n)
+        want = [sum(apart(i, j) for j in range(n) if rank[j] < rank[i]) for i in range(n)]
+        assert cascade.distances_to_earlier(np.array(parent), np.array(rank)).tolist() == want
+
+
+def test_circles_and_chains(spark):
+    rows = [("a", "a", "a", 0), ("b", "a", "a", 1), ("c", "d", "a", 2), ("d", "e", "a", 3), ("e", "c", "a", 4), ("f", "c", "a", 5), ("g", "b", "a", 6), ("h", "gone", "a", 7)]
+    log = spark.createDataFrame(rows, "node string, parent string, root string, seq long").withColumns({"user": F.col("node"), "ts": F.timestamp_seconds("seq")})
+    got = {r["node"]: (r["depth"], r["below"]) for r in cascade.depths(log, sizes=True).collect()}
+    assert got == {"a": (0, 2), "b": (1, 1), "g": (2, 0), "c": (-1, 0), "d": (-1, 0), "e": (-1, 0), "f": (-1, 0), "h": (-1, 0)}
+    assert cascade.summary(log).count() == 1 and cascade.timeseries(log).count() == 1 and cascade.by_depth(log).count() == 3
+    n = 3000
+    chain = spark.range(n).select(F.col("id").cast("string").alias("node"), F.greatest(F.col("id") - 1, F.lit(0)).cast("string").alias("parent"), F.lit("0").alias("root"), F.col("id").alias("seq"))
+    chain = chain.withColumns({"user": F.col("node"), "ts": F.timestamp_seconds("seq")})
+    one_ = cascade.summary(chain).first()
+    assert (one_["depth"], one_["size"], one_["breadth"]) == (n - 1, n, 1) and one_["structural_virality"] == pytest.approx((n + 1) / 3)
+    ids = chain.select(F.col("node").alias("nodeID"), F.col("parent").alias("parentID"), F.when(F.col("seq") % 1000 == 0, F.array("node")).otherwise(F.array().cast("array<string>")).alias("informationIDs"))
+    handed = {r["nodeID"]: r["informationIDs"] for r in extract.propagate(ids).collect()}
+    assert handed["999"] == ["0"] and handed["2999"] == ["0", "1000", "2000"]
+    ring = spark.createDataFrame([("x", "y", ["1"]), ("y", "x", ["2"]), ("z", "y", [])], "nodeID string, parentID string, informationIDs array<string>")
+    assert {r["nodeID"]: r["informationIDs"] for r in extract.propagate(ring).collect()} == {"x": ["1", "2"], "y": ["1", "2"], "z": ["1", "2"]}
+
+
+def test_rows_that_tie_lose_one_only(spark):
+    from tributary.operators import content
+
+    rows = [("u", "c", "post", "2017-08-01T00:00:00Z")] * 3 + [("v", "d", "post", "2017-08-01T05:00:00Z")]
+    raw = spark.createDataFrame(rows, "nodeUserID string, nodeID string, actionType string, nodeTime string")
+    log = preprocess.canonical(raw, "twitter")
+    assert content.diffusion_delay(log).count() == 3 and content.diffusion_delay(log, drop="per_content").count() == 2
+
+
+def test_louvain_over_levels(spark):
+    cliques = [(f"{k}{i}", f"{k}{j}") for k in "abcdef" for i in range(5) for j in range(i)]
+    bridges = [("a0", "b0"), ("b1", "a1"), ("c0", "d0"), ("d1", "c1"), ("e0", "f0"), ("f1", "e1"), ("b2", "c2"), ("d2", "e2")]
+    edges = spark.createDataFrame(cliques + bridges, "src string, dst string")
+    parts = {r["node"]: r["community"] for r in network.louvain(edges).collect()}
+    assert len(parts) == 30 and all(len({parts[f"{k}{i}"] for i in range(5)}) == 1 for k in "abcdef")
+    assert one(network.modularity(edges)) > 0.6
+
+
+def test_ground_truth_by_information_type(spark, tmp_path):
+    rows = lambda p, i: spark.createDataFrame([(p + "1", i, p)], "nodeID string, informationID string, platform string")
+    sources = {"telegram": rows("telegram", "btc"), "twitter": rows("twitter", "BTC"), "github": rows("github", "x")}
+    names = spark.createDataFrame([("btc", "Bitcoin")], "alias string, name string")
+    got = extract.ground_truth(sources, names, "Coins", str(tmp_path / "out")).collect()
+    assert sorted((r["platform"], r["informationID"]) for r in got) == [("telegram", "Bitcoin"), ("twitter", "Bitcoin")]
+    assert spark.read.json(str(tmp_path / "out")).count() == 2 and extract.ground_truth(sources, None, "CVE").count() == 2
+    with pytest.raises(ValueError):
+        extract.ground_truth(sources, None, "Weather")
+    with pytest.raises(ValueError):
+        extract.ground_truth({"telegram": sources["telegram"]}, None, "CVE")
+
+
 def test_github_extraction(spark, tmp_path):
     import json
 
@@ -248,6 +326,9 @@ def test_github_extraction(spark, tmp_path):
     got = extract.github(spark.read.json(str(tmp_path / "g.json"))).collect()
     assert sorted((r["actionType"], r["informationID"], r["urlDomains"][0]) for r in got) == [
         ("IssuesEvent", "k1", "b.org"), ("IssuesEvent", "k2", "b.org"), ("PushEvent", "k1", "a.org"), ("PushEvent", "k2", "a.org")]
+    (tmp_path / "h.json").write_text("\n".join(json.dumps(d).replace("keywords", "tags").replace("extension", "more").replace("details", "marks") for d in docs))
+    other = extract.github(spark.read.json(str(tmp_path / "h.json")), at=extract.Names(ids="more.tags", details="marks"), start="2017-08-01", end="2017-08-02")
+    assert other.count() == 4 and extract.github(spark.read.json(str(tmp_path / "g.json")), start="2017-08-02").count() == 0
 
 
 def test_reddit_extraction_hands_ids_down(spark):

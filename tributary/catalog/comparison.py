@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tributary.catalog.adapters import EV, halves, six, with_
-from tributary.operators import content, user
+from tributary.operators import charts, content, user
 from tributary.operators import metrics as m
 
 
@@ -30,6 +30,10 @@ def _week(log):
     return log.groupBy(F.date_format("time", "EEEE").alias("day")).agg(F.count(F.lit(1)).alias("value"))
 
 
+def _weekdays(log):
+    return log.groupBy("root", F.date_format("time", "EEEE").alias("weekday")).agg(F.count(F.lit(1)).alias("value"))
+
+
 def _types(log):
     return log.groupBy("root", "event").agg(F.count(F.lit(1)).alias("value"))
 
@@ -115,6 +119,19 @@ CATALOG = {
     "m_ks": (_on(_delays, m.ks_test), _H + """, a AS (SELECT trunc((epoch(t) - epoch(min(t) OVER (PARTITION BY u))) / 3600) AS v FROM g), b AS (SELECT trunc((epoch(t) - epoch(min(t) OVER (PARTITION BY u))) / 3600) AS v FROM s),
         x AS (SELECT DISTINCT v FROM (SELECT v FROM a UNION ALL SELECT v FROM b))
         SELECT round(max(abs((SELECT count(*) FROM a WHERE a.v <= x.v) / (SELECT count(*) FROM a) - (SELECT count(*) FROM b WHERE b.v <= x.v) / (SELECT count(*) FROM b))), 6)::DOUBLE AS value FROM x"""),
+    "chart_hist": (_on(_users, lambda g, s: charts.chart("hist", g, s)), _HIST.format(width=_DOANE) + """, e AS (SELECT lo, (hi - lo) / bins AS w FROM n),
+        t AS (SELECT bin, 'Ground Truth' AS type, gt AS vals FROM z UNION ALL SELECT bin, 'Simulation', sim FROM z)
+        SELECT bin, round(lo + bin * w, 6)::DOUBLE AS low, round(lo + (bin + 1) * w, 6)::DOUBLE AS high, type, vals::BIGINT AS vals FROM t, e"""),
+    "chart_scatter": (_on(_users, lambda g, s: charts.chart("scatter", g, s)), _U + 'SELECT a.k AS "user", a.v AS "Ground Truth", b.v AS "Simulation" FROM a JOIN b USING (k)'),
+    "chart_bar": (_on(_users, lambda g, s: charts.chart("bar", g, s)), _U + """, j AS (SELECT k, coalesce(a.v, 0) AS g, coalesce(b.v, 0) AS s FROM a FULL JOIN b USING (k))
+        SELECT k AS "user", 'Ground Truth' AS type, g::DOUBLE AS vals FROM j UNION ALL SELECT k, 'Simulation', s FROM j"""),
+    "chart_time_series": (_on(_days, lambda g, s: charts.chart("time_series", g, s)), _D + """
+        SELECT r AS root, k AS day, 'Ground Truth' AS type, g AS vals FROM j WHERE g IS NOT NULL UNION ALL SELECT r, k, 'Simulation', s FROM j WHERE s IS NOT NULL"""),
+    "chart_multi_time_series": (_on(_weekdays, lambda g, s: charts.chart("multi_time_series", g, s)), _H + """,
+        a AS (SELECT c AS r, strftime(t, '%A') AS k, count(*)::DOUBLE AS v FROM g GROUP BY ALL), b AS (SELECT c AS r, strftime(t, '%A') AS k, count(*)::DOUBLE AS v FROM s GROUP BY ALL),
+        j AS (SELECT coalesce(a.r, b.r) AS r, coalesce(a.k, b.k) AS k, coalesce(a.v, 0) AS g, coalesce(b.v, 0) AS s FROM a FULL JOIN b ON a.r = b.r AND a.k = b.k),
+        t AS (SELECT r, k, 'Ground Truth' AS type, g AS vals FROM j UNION ALL SELECT r, k, 'Simulation', s FROM j)
+        SELECT r AS root, k AS weekday, type, vals::DOUBLE AS vals, list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], k)::INTEGER AS weekday_int FROM t"""),
     "m_dtw": (_on(_days, lambda g, s: m.dtw(g, s, ["root"])), _D.replace("WITH ", "WITH RECURSIVE ", 1) + _DTW),
     "m_pearson_test": (_on(_users, lambda g, s: m.pearson_test(g, s).select("value")), _U + "SELECT round(corr(a.v, b.v), 6)::DOUBLE AS value FROM a JOIN b USING (k)"),
     "m_plot_ready": (_on(_users, m.plot_ready), _U + 'SELECT coalesce(a.k, b.k) AS "user", coalesce(a.v, 0) AS "Ground Truth", coalesce(b.v, 0) AS "Simulation" FROM a FULL JOIN b ON a.k = b.k'),

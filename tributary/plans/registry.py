@@ -331,14 +331,16 @@ OVERRIDES = {
 SECOND = {("twitter", "cve"), ("reddit", "cve"), ("reddit", "crypto"), ("reddit", "cyber")}
 
 
-def specs(platform: str, domain: str | None = None, scenario: int = 1) -> dict[str, Spec]:
-    """Measurements of a run: the platform's, the network's, and in the second scenario the cascades' (Twitter without communities)."""
+def specs(platform: str, domain: str | None = None, scenario: int = 1, influence: bool = False) -> dict[str, Spec]:
+    """Measurements of a run: the platform's, the network's, in the second scenario the cascades' (Twitter without communities), and on demand those of transfer entropy."""
     if scenario == 2 and (platform, domain) not in SECOND:
         raise KeyError(f"no second scenario for {platform} and {domain}")
     found = {**BASE[platform], **NETWORK}
     if scenario == 2:
         found |= {n: s for n, s in CASCADE.items() if platform != "twitter" or s.scale != "community"}
     found = {n: s for n, s in found.items() if (s.scenario2 if scenario == 2 else s.scenario1)}
+    if influence:
+        found |= INFLUENCE
     for name, (k, p) in OVERRIDES.get((platform, domain, scenario), {}).items():
         if name in found:
             found[name] = replace(found[name], args={**found[name].args, "k": k, "p": p})
