@@ -20,8 +20,9 @@ functions only.
 Defined cases: a null or empty text has size 0 and takes nothing; null
 sources are one source, the last; repeated rows are rows of their own; of
 rows with equal shuffle keys the smaller text comes first by checksum; an
-empty table gives no rows; other columns of the input are kept by
-``mixed_documents`` and left out by ``mixture``.
+empty table gives no rows; other columns of the input, whatever their names,
+are kept by ``mixed_documents`` and left out by ``mixture``; a text of many
+blocks is cut over them, however long it is.
 """
 
 from __future__ import annotations

@@ -15,7 +15,10 @@ marked words of a text are independent; this is checked when a model is
 loaded.  Results of words are remembered up to a bound.
 
 Defined cases: a null text is the empty text, which gets the end id alone;
-repeated rows are encoded alike; an empty table gives no rows.
+repeated rows are encoded alike; a very long text is encoded whole, word by
+word, and a word of any length by itself; null ids are ids like others; an
+empty table gives no rows; other columns of the input are left out by
+``digests`` and kept by ``encode`` and ``decode``.
 """
 
 from __future__ import annotations
