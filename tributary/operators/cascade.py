@@ -24,6 +24,11 @@ def present(log: DataFrame) -> DataFrame:
     return log.join(roots, "root", "left_semi")
 
 
+def _present_table(log: DataFrame) -> DataFrame:
+    """``present`` as a table, as what follows reads it several times."""
+    return Scratch(log.sparkSession, "present").save(present(log), "log")
+
+
 def _climbed(log: DataFrame, sizes: bool, rounds: int = 64) -> DataFrame:
     """(root, node, depth[, below]): steps to the root, -1 where the parents don't lead there, and the number of nodes below.
 
@@ -72,7 +77,7 @@ def summary(log: DataFrame) -> DataFrame:
     A cascade of its root alone has depth 0, size 1, breadth 0, no virality and lifetime 0.
     Virality: with s nodes below and at an edge's lower end, the sum of all distances is the sum of s (n - s).
     """
-    rows = Scratch(log.sparkSession, "summary").save(depths(present(log), sizes=True), "rows")
+    rows = Scratch(log.sparkSession, "summary").save(depths(_present_table(log), sizes=True), "rows")
     plain = rows.groupBy("root").agg(
         F.max("depth").alias("depth"), F.count_distinct("user").alias("unique_users"), ((F.max(epoch(F.col("ts"))) - F.min(epoch(F.col("ts")))) / 86400).alias("lifetime"),
         F.count(F.when(F.col("node") != F.col("root"), 1)).alias("others"))
@@ -189,14 +194,14 @@ def _ratio(rows: DataFrame, by: str) -> DataFrame:
 
 def timeseries(log: DataFrame, unit: str = "day") -> DataFrame:
     """State of each cascade at the end of each non-empty bin: depth, breadth, size, structural virality, unique users, ratio of new ones."""
-    rows = _prefixes(depths(present(log)), ["ts", "seq"]).withColumn("timestamp", bin_start(F.col("ts"), unit))
+    rows = _prefixes(depths(_present_table(log)), ["ts", "seq"]).withColumn("timestamp", bin_start(F.col("ts"), unit))
     last = rows.withColumn("rn", F.row_number().over(W.partitionBy("root", "timestamp").orderBy(F.desc("ts"), F.desc("seq")))).filter("rn = 1").drop("rn", "ts", "seq")
     return _ratio(last.withColumnRenamed("level", "depth"), "timestamp")
 
 
 def by_depth(log: DataFrame) -> DataFrame:
     """State of each cascade down to each depth; depth 0 is all zeros."""
-    rows = _prefixes(depths(present(log)).filter("depth >= 0"), ["depth", "ts", "seq"])
+    rows = _prefixes(depths(_present_table(log)).filter("depth >= 0"), ["depth", "ts", "seq"])
     last = rows.withColumn("rn", F.row_number().over(W.partitionBy("root", "depth").orderBy(F.desc("ts"), F.desc("seq")))).filter("rn = 1").drop("rn", "ts", "seq", "level")
     zero = lambda c, kind: F.when(F.col("depth") == 0, F.lit(0).cast(kind)).otherwise(F.col(c)).alias(c)
     got = _ratio(last, "depth")  # the root's own user is the first: the count starts at 1

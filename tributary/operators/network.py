@@ -81,7 +81,9 @@ def number_of_components(edges: DataFrame, isolated: DataFrame | None = None) ->
 
 def clustering(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """Mean local clustering over all nodes; below degree 2 it is 0.  Edges point to the end of higher degree, which bounds the pairs at a hub."""
-    e = simple(edges)
+    scratch = Scratch(edges.sparkSession, "clustering")
+    edges = scratch.save(edges, "edges")
+    e = scratch.save(simple(edges), "simple")
     d = degrees(e)
     rank = lambda k: F.struct(F.col(f"d{k}"), F.col(k))
     wide = e.join(d.select(F.col("node").alias("src"), F.col("degree").alias("dsrc")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("ddst")), "dst")
@@ -175,6 +177,7 @@ def louvain(edges: DataFrame, rounds: int = 12, levels: int = 16) -> DataFrame:
 
 def modularity(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Newman's Q of a partition (node, community), by default that of ``louvain``."""
+    edges = Scratch(edges.sparkSession, "modularity").save(edges, "edges")
     parts = louvain(edges) if parts is None else parts
     d = degrees(edges).join(parts, "node").groupBy("community").agg(F.sum("degree").cast("double").alias("k"))
     inner = edges.join(parts.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
