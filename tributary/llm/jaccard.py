@@ -59,7 +59,7 @@ from tributary.plans.ranking import running
 from tributary.plans.scratch import Scratch
 
 #: Shingles in a cell, and in a page of the frequency count; sets that a task remembers.
-HEAVY, PAGE_SHINGLES, PAGE_SETS, REMEMBERED = 1_000_000, 250_000, 4_096, 200_000
+HEAVY, PAGE_SHINGLES, PAGE_SETS, REMEMBERED = 2_000_000, 250_000, 4_096, 200_000
 SMALL, PIVOTS, BLOCK, COLUMNS = 64, 8, 256, 4_096
 #: Rounds of document pivots over the cluster, and the share of a region that counts as shrunk.
 ROUNDS, SHRUNK = 4, 0.7
@@ -341,8 +341,8 @@ def _sets(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for a in range(0, len(f), 256):
-                sets = [x.tobytes() for x in shingle_sets(f["text"].iloc[a : a + 256], size)]
-                yield pd.DataFrame({"digest": [hashlib.blake2b(x, digest_size=16).digest() for x in sets], "shingles": sets})
+                part = f.iloc[a : a + 256]
+                yield pd.DataFrame({"digest": part["digest"], "shingles": [x.tobytes() for x in shingle_sets(part["text"], size)]})
 
     return run
 
@@ -380,9 +380,9 @@ def _parted(rows: DataFrame, fetch: Callable, percent: int, scratch: Scratch, r:
     of what shrinks, and the rows of what doesn't, both with the classes that are known now and without what is of one class."""
     full = scratch.save(rows.join(fetch(rows.select("digest").distinct()), "digest"), f"heavy{r}")
     first = W.partitionBy("region").orderBy(F.xxhash64("digest", F.lit(r)), "digest")
-    chosen = full.select("region", "digest", "w").withColumn("k", F.row_number().over(first) - 1).filter(F.col("k") < PIVOTS)
+    chosen = full.select("region", "digest", "w", "shingles").withColumn("k", F.row_number().over(first) - 1).filter(F.col("k") < PIVOTS)  # PIVOTS rows of each task are shuffled
     blocks = F.expr(f"w div {max(1, HEAVY // 4)} + 1")
-    chosen = chosen.join(full.select("region", "digest", "shingles"), ["region", "digest"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    chosen = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     chosen = chosen.select(*[F.col(c).alias(c) for c in ("region", "block", "k", "digest", "shingles")])  # both sides come from one table
     dealt = full.withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), blocks)).select("region", "block", "digest", "n", "class", "shingles")
     near = scratch.save(dealt.groupBy("region", "block").cogroup(chosen.groupBy("region", "block")).applyInPandas(_near(percent), NEAR), f"near{r}")
@@ -462,21 +462,21 @@ def linked_documents(docs: DataFrame, value: Column, size: int, percent: int) ->
 
     members = sketch.select(F.explode(F.arrays_zip("doc_ids", "keys", "sizes", "digests")).alias("m")).select(
         F.col("m.doc_ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("m.keys").alias("key"), F.col("m.sizes").alias("n_shingles"), F.col("m.digests").alias("digest"))
-    least = members.groupBy("digest").agg(F.min("key").alias("key"))
+    least = members.groupBy("digest").agg(F.min("key").alias("key")).join(pivots.select("digest").distinct(), "digest")
+    kept = scratch.save(texts.select("key", "text").join(least, "key").dropDuplicates(["digest"]).select("digest", "text"), "texts")  # the texts travel once
 
-    def fetch(digests: DataFrame) -> DataFrame:
-        """(digest, shingles), read from one text of each digest."""
-        wanted = least.join(digests, "digest", "left_semi").select("key").distinct()
-        return texts.join(wanted, "key", "left_semi").mapInPandas(_sets(size), "digest binary, shingles binary").dropDuplicates(["digest"])
+    def fetch(digests: DataFrame | None = None) -> DataFrame:
+        """(digest, shingles), from one text of each digest."""
+        return (kept if digests is None else kept.join(digests, "digest", "left_semi")).mapInPandas(_sets(size), "digest binary, shingles binary")
 
     cells, more = _cells(pivots.select("pivot", "digest", "n"), roots, fetch, percent, scratch)
-    links = cells.join(fetch(pivots.select("digest").distinct()), "digest").groupBy("cell").applyInPandas(_joined(percent), "a binary, b binary")
+    links = cells.join(fetch(), "digest").groupBy("cell").applyInPandas(_joined(percent), "a binary, b binary")
     links = scratch.save(links.unionByName(more) if more is not None else links, "links")
     linked = components(links, scratch, "links").withColumnRenamed("node", "digest")
     whole = members.filter("n_shingles > 0").groupBy("digest").agg(F.min(value).alias("own")).join(linked, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = whole.groupBy("root").agg(F.min("own").alias("least"))
     named = scratch.save(whole.join(smallest, "root").select("digest", "least"), "named")
-    scratch.drop("pivots", "regions", "nodes", "links")
+    scratch.drop("pivots", "regions", "nodes", "texts", "links")
     return members.join(named, "digest", "left").select("doc_id", "key", "n_shingles", "least")
 
 
