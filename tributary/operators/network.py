@@ -80,7 +80,8 @@ def number_of_components(edges: DataFrame, isolated: DataFrame | None = None) ->
 
 
 def clustering(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
-    """Mean local clustering over all nodes; below degree 2 it is 0.  Edges point to the end of higher degree, which bounds the pairs at a hub."""
+    """Mean local clustering over all nodes; below degree 2 it is 0.  Edges point to the end of higher degree, which bounds the list of a hub;
+    the nodes that the lists of an edge's two ends share close its triangles."""
     scratch = Scratch(edges.sparkSession, "clustering")
     edges = scratch.save(edges, "edges")
     e = scratch.save(simple(edges), "simple")
@@ -88,10 +89,13 @@ def clustering(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
     rank = lambda k: F.struct(F.col(f"d{k}"), F.col(k))
     wide = e.join(d.select(F.col("node").alias("src"), F.col("degree").alias("dsrc")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("ddst")), "dst")
     out = wide.select(F.when(rank("src") < rank("dst"), F.struct("src", "dst")).otherwise(F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))).alias("e")).select("e.src", "e.dst")
-    second = out.select("src", F.col("dst").alias("third"))
-    wedges = out.join(second, "src").filter("dst < third")
-    closed = wedges.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), ["dst", "third"])
-    corners = closed.select(F.explode(F.array("src", "dst", "third")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
+    lists = scratch.save(out.groupBy("src").agg(F.collect_list("dst").alias("to")), "lists")  # none is longer than the root of twice the edges
+    pairs = out.join(lists.withColumnRenamed("to", "a"), "src").join(lists.select(F.col("src").alias("dst"), F.col("to").alias("b")), "dst")
+    closed = pairs.select("src", "dst", F.array_intersect("a", "b").alias("third")).filter(F.size("third") > 0)
+    one, many = F.lit(1).cast("bigint"), F.size("third").cast("bigint")
+    corner = lambda node, k: F.struct(node.alias("node"), k.alias("k"))
+    ends = F.array(corner(F.col("src"), many), corner(F.col("dst"), many))
+    corners = closed.select(F.explode(F.concat(ends, F.transform("third", lambda x: corner(x, one)))).alias("c")).groupBy("c.node").agg(F.sum("c.k").alias("t"))
     nodes = degrees(edges, isolated).select("node").join(d, "node", "left").join(corners, "node", "left")
     k = F.col("degree").cast("double")
     return nodes.agg(F.avg(F.when(k >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).otherwise(0.0)).alias("value"))
@@ -100,8 +104,8 @@ def clustering(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
 def mean_path(edges: DataFrame, sources: int | None = None, seed: int = 1) -> DataFrame:
     """Mean shortest path over reachable pairs, by breadth-first search from all nodes (exact) or from ``sources`` of them (an estimate).
 
-    The search ends when no origin reaches a new node.  In a graph without directions a new node isn't on the two levels before,
-    so that only these are looked at.
+    An origin's search ends when it has reached its whole component.  In a graph without directions a new node isn't on the two
+    levels before, so that only these are looked at.
     """
     scratch = Scratch(edges.sparkSession, "paths")
     e = scratch.save(both_ways(simple(edges)), "edges")
@@ -109,11 +113,16 @@ def mean_path(edges: DataFrame, sources: int | None = None, seed: int = 1) -> Da
     if sources:
         nodes = nodes.orderBy(F.xxhash64(F.lit(seed), "src")).limit(sources)
     frontier = scratch.save(nodes.select(F.col("src").alias("origin"), F.col("src").alias("node")), "level0")
+    named = both_ways(edges).select(F.col("src").alias("node")).distinct().join(
+        components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), scratch, "parts"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = named.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("others"))
+    open_ = scratch.save(frontier.select("origin").join(named.join(sizes, "root").select(F.col("node").alias("origin"), "others"), "origin"), "open0")
     before, pairs, total, level = None, 0, 0, 0
     while True:
         level += 1
         seen = frontier if before is None else frontier.unionByName(before)
-        step = frontier.join(e.withColumnRenamed("src", "node"), "node").select("origin", F.col("dst").alias("node")).distinct()
+        reach = frontier.join(open_.filter("others > 0").select("origin"), "origin", "left_semi")
+        step = reach.join(e.withColumnRenamed("src", "node"), "node").select("origin", F.col("dst").alias("node")).distinct()
         before, frontier = frontier, scratch.save(step.join(seen, ["origin", "node"], "left_anti"), f"level{level}")
         if level > 2:
             scratch.drop(f"level{level - 3}")
@@ -121,6 +130,8 @@ def mean_path(edges: DataFrame, sources: int | None = None, seed: int = 1) -> Da
         if not n:
             break
         pairs, total = pairs + n, total + n * level
+        found = frontier.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+        open_ = scratch.save(open_.join(found, "origin", "left").select("origin", (F.col("others") - F.coalesce("n", F.lit(0))).alias("others")), f"open{level}")
     value = total / pairs if pairs else None
     return edges.sparkSession.range(1).select(F.lit(value).cast("double").alias("value"))
 
