@@ -362,7 +362,10 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     buckets = max(16, -(-pages.select(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // BUCKET))
 
     def answers(asked: DataFrame, name: str) -> DataFrame:
-        return scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answered, ANSWERED), name)
+        asked = scratch.save(asked, f"asked_{name}")  # so that the pages' shuffle goes before the questions travel
+        out = scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answered, ANSWERED), name)
+        scratch.drop(f"asked_{name}")
+        return out
 
     def step(n: int, known: list[DataFrame], schema: str = ASKED, mass: float = 0.0) -> DataFrame:
         told = known[0]
