@@ -402,8 +402,8 @@ def _parted(rows: DataFrame, fetch: Callable, percent: int, scratch: Scratch, r:
 def _cells(pivots: DataFrame, roots: DataFrame, fetch: Callable, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(cell, digest, class, side) of all cells, and the links (a, b) that were found on the way."""
     none = F.lit(None).cast("binary")
-    node = pivots.select("digest", "n").distinct().join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    node = node.select(F.hex(F.coalesce("root", "digest")).alias("region"), "digest", "n", none.alias("class"))
+    node = pivots.select("digest", "n", "h").distinct().join(roots.withColumnRenamed("node", "h"), "h", "left")
+    node = node.select(F.hex(F.coalesce("root", "h")).alias("region"), "digest", "n", none.alias("class"))
     node = scratch.save(node.join(node.groupBy("region").agg(F.sum("n").alias("w")), "region"), "nodes")
     light = lambda df: df.filter(F.col("w") <= HEAVY).select(F.col("region").alias("cell"), "digest", "class", F.lit(0).alias("side"))
     rows, cells, links, left = node.filter(F.col("w") > HEAVY), [light(node)], [], []
@@ -423,7 +423,7 @@ def _cells(pivots: DataFrame, roots: DataFrame, fetch: Callable, percent: int, s
             rest = rest.unionByName(x)
         laid, pairs = _blocks(rest)
         laid, pairs = scratch.save(laid, "laid"), scratch.save(pairs, "pairs")
-        by_shingle = rest.join(pivots.select("digest", "pivot"), "digest").select(F.col("region").alias("parent"), F.concat_ws("#", "region", F.hex("pivot")).alias("region"), "digest", "n", "class")
+        by_shingle = rest.join(pivots.select("digest", "pivot").distinct(), "digest").select(F.col("region").alias("parent"), F.concat_ws("#", "region", F.hex("pivot")).alias("region"), "digest", "n", "class")
         weights = by_shingle.groupBy("parent", "region").agg(
             F.sum("n").alias("w"), ((F.count("class") == F.count(F.lit(1))) & F.min("class").eqNullSafe(F.max("class"))).alias("uniform")).filter("not uniform")
         weights = scratch.save(weights, "weights")
@@ -455,10 +455,11 @@ def linked_documents(docs: DataFrame, value: Column, size: int, percent: int) ->
     dealt = sketch.select("page", "first").mapInPandas(_deal(parts), "bucket bigint, page bigint, hashes binary, counts binary")
     often = dealt.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_frequencies, "page bigint, bucket bigint, dfs binary")
     pivots = sketch.drop("doc_ids", "keys").groupBy("page").cogroup(often.groupBy("page")).applyInPandas(_windows(percent, parts), "pivot bigint, digest binary, n bigint")
-    pivots = scratch.save(pivots.distinct(), "pivots")
-    regions = pivots.groupBy("pivot").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
+    # regions and their cells only gather sets: 64 bits of a digest name it, and a set that several tasks have seen is there several times
+    pivots = scratch.save(pivots.withColumn("h", F.xxhash64("digest")), "pivots")
+    regions = pivots.groupBy("pivot").agg(F.min("h").alias("centre"), F.max("h").alias("last")).filter("centre != last")
     pivots = scratch.save(pivots.join(regions.select("pivot", "centre"), "pivot"), "regions")
-    roots = components(pivots.select(F.col("digest").alias("a"), F.col("centre").alias("b")), scratch, "cells")
+    roots = components(pivots.select(F.col("h").alias("a"), F.col("centre").alias("b")), scratch, "cells")
 
     members = sketch.select(F.explode(F.arrays_zip("doc_ids", "keys", "sizes", "digests")).alias("m")).select(
         F.col("m.doc_ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("m.keys").alias("key"), F.col("m.sizes").alias("n_shingles"), F.col("m.digests").alias("digest"))
@@ -469,7 +470,7 @@ def linked_documents(docs: DataFrame, value: Column, size: int, percent: int) ->
         """(digest, shingles), from one text of each digest."""
         return (kept if digests is None else kept.join(digests, "digest", "left_semi")).mapInPandas(_sets(size), "digest binary, shingles binary")
 
-    cells, more = _cells(pivots.select("pivot", "digest", "n"), roots, fetch, percent, scratch)
+    cells, more = _cells(pivots.select("pivot", "digest", "n", "h"), roots, fetch, percent, scratch)
     links = cells.join(fetch(), "digest").groupBy("cell").applyInPandas(_joined(percent), "a binary, b binary")
     links = scratch.save(links.unionByName(more) if more is not None else links, "links")
     linked = components(links, scratch, "links").withColumnRenamed("node", "digest")
