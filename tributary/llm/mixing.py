@@ -154,7 +154,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The rows keep all their columns, whatever their names, and travel once by (source, bucket) and once by (source, block).
     """
     mix = Mix(docs, keep=docs.columns, **options)
-    start = mix.line.filter("__words > 0").withColumn("__block", F.expr("__from div __length"))
+    start = mix.line.filter("__words > 0").select("__row", "__src", F.expr("__from div __length").alias("__block"))
+    start = mix.scratch.save(start, "start")  # so that the first shuffle of whole rows goes before the second
     return start.join(mix.slots.select("__src", "__block"), ["__src", "__block"]).select("__row.*")
 
 
