@@ -413,3 +413,22 @@ def test_assortativity_of_parallel_edges_and_loops(spark):
     degree = {n: sum((a == n) + (b == n) for a, b in edges) for n in range(1, 7)}
     x, y = zip(*[(degree[a], degree[b]) for e in edges for a, b in (e, e[::-1])])
     assert one(network.assortativity(spark.createDataFrame(edges, "src long, dst long"))) == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_all_pairs_by_blocks_and_the_strongest(spark, monkeypatch):
+    """Blocks smaller than a group give the rows of ``pairs``; the strongest are those of a test of every pair, also where few or none stand."""
+    monkeypatch.setattr(influence, "BLOCK", 4)
+    monkeypatch.setattr(influence, "SCORED", 6)
+    rng = np.random.default_rng(2)
+    rows = [(g, f"u{u}", int(b)) for g in "xy" for u in range(9) for b in rng.choice(60, 4 + u, replace=False)]
+    rows += [("x", f"v{u}", b + 1) for u in range(3) for g, v, b in rows if g == "x" and v == f"u{u + 5}" and b < 59] + [("z", "a", 1), ("z", "b", 2)]
+    binned = spark.createDataFrame(rows, "grp string, entity string, bin long")
+    who = binned.select("grp", "entity").distinct().unionByName(spark.createDataFrame([("x", "silent")], "grp string, entity string"))
+    key = lambda df: {(r["grp"], r["src"], r["dst"], r["delay"]): r["value"] for r in df.collect()}
+    want, got = key(influence.pairs(binned, 60, [1, 2], who, who)), key(influence.all_pairs(binned, 60, [1, 2], who, who))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    every = influence.significant(binned, influence.all_pairs(binned, 60, [1, 2], who, who), 60, 0.02, reps=20)
+    plain = influence.strongest(every, 8, 1)[0]
+    lazy = influence.strongest_significant(binned, 60, [1, 2], who, 0.02, 8, reps=20, first=1)
+    at = lambda df: sorted((r["grp"], r["rank"], r["src"], r["dst"], round(r["value"], 9)) for r in df.collect())
+    assert at(lazy) == at(plain)
