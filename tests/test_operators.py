@@ -457,3 +457,23 @@ def test_all_pairs_by_blocks_and_the_strongest(spark, monkeypatch):
     lazy = influence.strongest_significant(binned, 60, [1, 2], who, 0.02, 8, reps=20, first=1)
     at = lambda df: sorted((r["grp"], r["rank"], r["src"], r["dst"], round(r["value"], 9)) for r in df.collect())
     assert at(lazy) == at(plain)
+
+
+def test_the_strongest_of_equal_series(spark, monkeypatch):
+    """Copies of series tie: of all their pairs only the first by name are kept and tested, over blocks and parts of a class too."""
+    rng = np.random.default_rng(4)
+    line = {k: sorted(int(b) for b in rng.choice(60, 8, replace=False)) for k in range(3)}
+    line[3] = [b + 1 for b in line[0] if b < 59]
+    rows = [("x", f"c{c}u{k}", b) for k, v in line.items() for c in range(7) for b in v]
+    binned = spark.createDataFrame(rows, "grp string, entity string, bin long")
+    who = binned.select("grp", "entity").distinct()
+    plain = influence.strongest(influence.significant(binned, influence.all_pairs(binned, 60, [1, 2], who, who), 60, 0.02, reps=20), 8, 1)[0]
+    at = lambda df: sorted((r["rank"], r["src"], r["dst"], round(r["value"], 9)) for r in df.collect())
+    want = at(plain)
+    every = sorted((-round(r["value"], 9), r["src"], r["dst"], r["delay"]) for r in influence.pairs(binned, 60, [1, 2], who, who).collect() if r["value"] > 0.02)
+    for block in (8192, 3):
+        monkeypatch.setattr(influence, "BLOCK", block)
+        found = influence.all_pairs(binned, 60, [1, 2], who, who, above=0.02, best=5)
+        got = sorted((-round(r["value"], 9), r["src"], r["dst"], r["delay"]) for r in found.collect())
+        assert got[:5] == every[:5] and (block == 3 or len(got) == 5)
+        assert at(influence.strongest_significant(binned, 60, [1, 2], who, 0.02, 8, reps=20, first=1)) == want
