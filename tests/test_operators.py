@@ -477,3 +477,14 @@ def test_the_strongest_of_equal_series(spark, monkeypatch):
         got = sorted((-round(r["value"], 9), r["src"], r["dst"], r["delay"]) for r in found.collect())
         assert got[:5] == every[:5] and (block == 3 or len(got) == 5)
         assert at(influence.strongest_significant(binned, 60, [1, 2], who, 0.02, 8, reps=20, first=1)) == want
+
+
+def test_blocks_of_all_pairs_travel_lean(spark, monkeypatch):
+    """6,000 entities of three series: the blocks that meet hold a series once, with the names, and not once for every entity."""
+    rows = [("x", f"u{u}", b) for u in range(6000) for b in range(u % 3, 60, 3)]
+    binned = spark.createDataFrame(rows, "grp string, entity string, bin long")
+    who, held = binned.select("grp", "entity").distinct(), []
+    monkeypatch.setattr(type(binned), "mapInArrow", lambda self, *a, **k: held.append(self) or self)
+    influence.all_pairs(binned, 60, [1], who, who)
+    found = held[0].selectExpr("size(alla) a", "size(allb) b").collect()
+    assert sum(r["a"] + r["b"] for r in found) <= 2 * 3 * len(found) and len(found) <= 64
